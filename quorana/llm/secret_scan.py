@@ -29,7 +29,9 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
-SEGMENTED = re.compile(r"[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
+#: How base64 of a JSON object begins: a brace, then a quote, white space or a closing brace.
+JSON_STARTS = ("eyJ", "eyAi", "eyAg", "ewog", "ewoi", "ewoJ", "ew0K", "ewki")
 LEAST_ASSIGNED, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: Shortest encoded runs worth decoding: no private key is smaller.
 LEAST_ENCODED = 40
@@ -126,9 +128,8 @@ def ssh_layout(data: bytes) -> str | None:
     return "openssh"
 
 
-def token_header(run: str) -> bool:
+def token_header(head: str, body: str) -> bool:
     """A signed token: header and body are base64url JSON objects, and the header names an algorithm."""
-    head, body, _ = run.split(".")
     try:
         h, b = (json.loads(raw) if (raw := unbase64(x)) is not None else None for x in (head, body))
     except (ValueError, UnicodeDecodeError, RecursionError):
@@ -136,6 +137,15 @@ def token_header(run: str) -> bool:
     return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(b, dict)
 
 
+def _signed(chain: str, at: int) -> Iterator[tuple[int, int]]:
+    """The signed tokens among consecutive dotted parts of a chain that starts at ``at``."""
+    parts = chain.split(".")
+    for k, head in enumerate(parts[:-2]):
+        if head.startswith(JSON_STARTS) and token_header(head, parts[k + 1]):
+            yield at, at + sum(map(len, parts[k : k + 3])) + 2
+        at += len(head) + 1
+
+
 def _layout(data: bytes | None) -> str | None:
     if not data:
         return None
@@ -161,8 +171,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     for a, b in _runs(points, _BASE64, LEAST_ENCODED):
         if kind := _layout(unbase64(text[a:b])):
             spans.append((kind, a, b))
-    if "eyJ" in text or "ewog" in text or "ey" in text and "." in text:
-        spans += [("jwt", *m.span()) for m in SEGMENTED.finditer(text) if m[0].startswith(("ey", "ew", "e3", "IH", "IA")) and token_header(m[0])]
+    if any(x in text for x in JSON_STARTS):
+        spans += [("jwt", a, b) for m in DOTTED.finditer(text) for a, b in _signed(m[0], m.start())]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
             lines = [x for x in re.split(r"\\n|\s+", m[2]) if x]
