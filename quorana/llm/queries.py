@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorana.llm import secret_scan, token_counts
+from quorana.llm import quality, secret_scan, token_counts
 from quorana.tables import read
 
 
@@ -15,12 +15,16 @@ def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_report(read(spark, sf, "documents"))
+
+
 def op6_tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, budget=1024).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op6_tokens": op6_tokens}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op5_quality": op5_quality, "op6_tokens": op6_tokens}
 SQL: dict[str, str] = {}
 
 
