@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorana.llm import quality, secret_scan, token_counts
+from quorana.llm import mixing, quality, secret_scan, token_counts
 from quorana.tables import read
 
 
@@ -15,6 +15,10 @@ def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixing_plan(read(spark, sf, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(read(spark, sf, "documents"))
 
@@ -24,8 +28,8 @@ def op6_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, budget=1024).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op5_quality": op5_quality, "op6_tokens": op6_tokens}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_tokens": op6_tokens}
+SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
