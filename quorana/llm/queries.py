@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorana.llm import mixing, quality, secret_scan, token_counts
+from quorana.llm import mixing, quality, secret_scan, sharding, token_counts
 from quorana.tables import read
 
 
@@ -28,7 +28,11 @@ def op6_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, budget=1024).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_tokens": op6_tokens}
+def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard_table(read(spark, sf, "documents"), n_shards=8)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op8_sharding": op8_sharding}
 SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
 
 
