@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorana.llm import mixing, quality, secret_scan, sharding, token_counts
+from quorana.llm import mixing, pii, quality, secret_scan, sharding, token_counts
 from quorana.tables import read
 
 
@@ -15,6 +15,10 @@ def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(read(spark, sf, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixing_plan(read(spark, sf, "documents"))
 
@@ -32,7 +36,7 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_table(read(spark, sf, "documents"), n_shards=8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op8_sharding": op8_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op8_sharding": op8_sharding}
 SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
 
 
