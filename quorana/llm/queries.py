@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorana.llm import mixing, pii, quality, secret_scan, sharding, token_counts
+from quorana.llm import mixing, near_dedup, pii, quality, secret_scan, sharding, token_counts
 from quorana.tables import read
 
 
@@ -32,11 +32,15 @@ def op6_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, budget=1024).drop("text")
 
 
+def op7_near_dups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf, "documents"), percent=85)
+
+
 def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_table(read(spark, sf, "documents"), n_shards=8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op8_sharding": op8_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op7_near_dups": op7_near_dups, "op8_sharding": op8_sharding}
 SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
 
 
