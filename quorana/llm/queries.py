@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorana.llm import line_dedup, mixing, near_dedup, pii, quality, secret_scan, sharding, token_counts
+from quorana.llm import line_dedup, mixing, near_dedup, pii, quality, secret_scan, sharding, suffix_dedup, token_counts
 from quorana.tables import read
 
 
@@ -44,7 +44,11 @@ def op9_lines(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_report(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op7_near_dups": op7_near_dups, "op8_sharding": op8_sharding, "op9_lines": op9_lines}
+def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.substring_report(read(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op7_near_dups": op7_near_dups, "op8_sharding": op8_sharding, "op9_lines": op9_lines, "op10_substrings": op10_substrings}
 SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
 
 
