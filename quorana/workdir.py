@@ -7,6 +7,7 @@ tests) a temporary folder is used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,8 @@ class Scratch:
         """Deletes a table that no later step reads."""
         fs, p = _filesystem(self.spark, f"{self.root}/{name}")
         fs.delete(p, True)
+
+    def settle(self) -> None:
+        """Lets Spark delete the shuffle files of steps that were written: it does so once their plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
