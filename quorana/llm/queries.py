@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorana.llm import line_dedup, mixing, near_dedup, pii, quality, secret_scan, sharding, suffix_dedup, token_counts
+from quorana.llm import decontaminate, line_dedup, mixing, near_dedup, pii, quality, secret_scan, sharding, suffix_dedup, token_counts
 from quorana.tables import read
 
 
@@ -23,6 +23,10 @@ def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixing_plan(read(spark, sf, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contamination_report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(read(spark, sf, "documents"))
 
@@ -48,7 +52,7 @@ def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.substring_report(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op7_near_dups": op7_near_dups, "op8_sharding": op8_sharding, "op9_lines": op9_lines, "op10_substrings": op10_substrings}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op4_decontamination": op4_decontamination, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op7_near_dups": op7_near_dups, "op8_sharding": op8_sharding, "op9_lines": op9_lines, "op10_substrings": op10_substrings}
 SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
 
 
