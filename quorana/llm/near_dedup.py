@@ -41,8 +41,8 @@ SLACK = 5.0
 BLOCK = 64
 #: Places over which the rows of one class are dealt in the last join.
 SPREAD = 64
-#: Elements per vectorised round, and words that a worker remembers.
-CHUNK, REMEMBERED_WORDS = 60_000, 1_000_000
+#: Elements per vectorised round, and bytes hashed at a time.
+CHUNK, PIECE = 60_000, 1 << 16
 #: Orders under which a bucket's further hubs are its least members (ids are xor-ed with these).
 ORDERS = (0x2AAAAAAAAAAAAAAA, 0x1B3C5D7E9F2A4B6D)
 
@@ -57,25 +57,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    """Word -> 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, _U(base), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_BYTES = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]  # letters A-Z count as a-z
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_UP, _DOWN = _powers(0x9E3779B97F4A7C15, PIECE + 1), _powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), PIECE + 1)
+
+
+def _word_hashes(data: np.ndarray) -> np.ndarray:
+    """One hash per word of a UTF-8 text: a polynomial over its bytes, from sums over the text in pieces."""
+    inside = np.empty(len(data) + 2, np.int8)
+    inside[0] = inside[-1] = 0
+    np.logical_not(_BLANK[data], out=inside[1:-1].view(bool))
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    out, done, at = np.empty(len(starts), np.uint64), 0, 0
+    while done < len(starts):
+        at = int(starts[done])
+        last = int(np.searchsorted(ends, at + PIECE, side="right"))
+        if last == done:  # a word longer than a piece
+            out[done] = xxhash.xxh3_64_intdigest(bytes(data[starts[done] : ends[done]]).translate(_LOWER))
+            done += 1
+            continue
+        stop = int(ends[last - 1])
+        sums = np.zeros(stop - at + 1, np.uint64)
+        np.cumsum(_BYTES[data[at:stop]] * _UP[: stop - at], out=sums[1:])
+        a, b = starts[done:last] - at, ends[done:last] - at
+        out[done:last] = _mixed((sums[b] - sums[a]) * _DOWN[a] + (b - a).astype(np.uint64))
+        done = last
+    return out
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; a shorter text is one shingle, an empty one none."""
-    found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    if not found:
+    own = _word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)) if text else np.zeros(0, np.uint64)
+    if not len(own):
         return np.zeros(0, np.uint64)
-    own = np.array([_words[w] for w in found], dtype=np.uint64)
     n = max(1, len(own) - k + 1)
     out = np.full(n, _U(min(len(own), k)), np.uint64)
     for at in range(min(k, len(own))):
@@ -215,16 +238,14 @@ class _Search:
         hubs = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("h0"), F.max("id").alias("h1"), *[F.min(F.col("id").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"h{k + 2}") for k, o in enumerate(ORDERS)])
         shared = self.scratch.write(hubs.where("size > 1"), "hubs")
         self.members = self.scratch.write(members.join(shared, "bucket"), "members")
-        self.known = None
-
-    def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """(id, set) of the documents in ``pairs``, made from their texts."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        return self.docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).join(ids, "id", "left_semi").select("id", shingle_sets(F.col("text")).alias("set")).where(F.octet_length("set") > 0).distinct()
+        # (id, set) of the classes that share a bucket, made from their texts once
+        ids = self.scratch.write(self.members.select("id").distinct(), "candidates")
+        found = self.docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).join(ids, "id", "left_semi")
+        self.sets = self.scratch.write(found.select("id", shingle_sets(F.col("text")).alias("set")), "sets")
 
     def verified(self, pairs: DataFrame, label: str) -> DataFrame:
         """Those of the pairs (written before) that hold on the full sets."""
-        sets = self.scratch.write(self.sets_of(pairs), f"sets-{label}")
+        sets = self.sets
         size = lambda c: F.octet_length(c).cast("long")
         both = (
             pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
