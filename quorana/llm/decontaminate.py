@@ -5,8 +5,7 @@
    passages and R a random sign matrix, the pass gathers the integer sums behind A'A R.
 2. Randomised SVD. From that sketch, a small dense problem on the driver gives the leading
    right singular vectors of A (the Nystroem form of the randomised range finder, which has
-   a power step built in). Its size is the benchmark's vocabulary, whatever the corpus. The
-   first LEADING directions, which say what language and manner a passage has, are left out.
+   a power step built in). Its size is the benchmark's vocabulary, whatever the corpus.
 3. Retrieval. In a second pass, overlapping passages are projected and compared with the
    projected benchmark segments; cosines from COSINE on are candidates. Words that more than
    COMMON of the documents hold have no weight; an item with fewer than LEAST_WEIGHTED other
@@ -36,8 +35,8 @@ from pyspark.sql import types as T
 
 from quorana.workdir import Scratch
 
-#: Words per passage and between passage starts; sketch columns, and singular directions left out.
-PASSAGE, STEP, SKETCH, LEADING = 32, 16, 64, 16
+#: Words per passage and between passage starts; and sketch columns, which bound the rank.
+PASSAGE, STEP, SKETCH = 32, 16, 64
 COMMON, LEAST_WEIGHTED = 0.05, 3
 COSINE, SHARED, VERBATIM, ANSWERED = 0.55, 0.7, 0.9, 0.6
 #: Bytes of benchmark text that are searched at a time.
@@ -146,7 +145,9 @@ def _statistics(items: Items):
                 base += len(ids) // PASSAGE + 1
             df += own
             words, owner = np.concatenate(held), np.concatenate(passage)
-            weighty = (own <= COMMON * len(batch))[words]  # what is common will have no weight
+            # what is common will have no weight; the margin is for batches that are not like the corpus
+            expected = COMMON * len(batch)
+            weighty = (own <= expected + 4 * expected**0.5 + 2)[words]
             words, owner = words[weighty], owner[weighty]
             for lo in range(0, len(words), 1 << 18):
                 _sketch(words[lo : lo + (1 << 18)], owner[lo : lo + (1 << 18)], signs, sums)
@@ -180,7 +181,7 @@ def latent_words(weight: np.ndarray, sums: np.ndarray, signs: np.ndarray) -> np.
     Y = D T'T R = (A'A)(D^-1 R), and A'A is about Y (W'Y)^-1 Y' with W = D^-1 R.
     """
     on = weight > 0
-    out = np.zeros((len(weight), max(1, SKETCH - LEADING)), np.float32)
+    out = np.zeros((len(weight), SKETCH), np.float32)
     if not on.any():
         return out
     y = weight[on, None] * sums[on].astype(np.float64)
@@ -188,8 +189,7 @@ def latent_words(weight: np.ndarray, sums: np.ndarray, signs: np.ndarray) -> np.
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > 1e-10 * values.max(initial=1e-300)
     left, strength, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    left = left[:, strength > 1e-9 * strength.max(initial=1e-300)]
-    kept = left[:, LEADING:] if left.shape[1] > 2 * LEADING else left[:, : out.shape[1]]
+    kept = left[:, strength > 1e-9 * strength.max(initial=1e-300)]
     out[on, : kept.shape[1]] = weight[on, None] * kept
     return out
 
@@ -288,8 +288,10 @@ def _contaminated(df: DataFrame, benchmark: DataFrame, text: str, item_id: str,
         # as many rows as the block has words
         told = sorted((r.word, r.df, r.sums) for r in told.collect())
         n = len(items.vocabulary)
+        sums = np.array([r[2] for r in told] or [[0] * SKETCH] * n)
         weight = weights(np.array([r[1] for r in told] or [0] * n), documents)
-        latent = latent_words(weight, np.array([r[2] for r in told] or [[0] * SKETCH] * n), items.signs())
+        weight[~sums.any(axis=1)] = 0.0  # common wherever it occurs: items of such words are compared directly
+        latent = latent_words(weight, sums, items.signs())
         before = found.withColumnsRenamed({"_items": "_had", "_scores": "_had_scores"})
         schema = T.StructType(before.schema.fields).add("_items", T.ArrayType(T.LongType())).add("_scores", T.ArrayType(T.DoubleType()))
         after = before.withColumn("text", body).mapInPandas(_search(items, weight, latent), schema)
