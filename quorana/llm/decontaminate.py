@@ -15,7 +15,7 @@
    what is not nearly verbatim, covers its answer too: the words after an answer marker, or
    the last sentence.
 
-Words are lower-case letters and digits. The benchmark is taken in blocks of bounded size,
+Words are taken in lower case and without ASCII punctuation. The benchmark is taken in blocks of bounded size,
 and each block is searched in all documents. Null and empty texts, and items without words,
 match nothing. Items that repeat an id are searched each; a document's items are listed once.
 Ids may be null or repeat: every row is judged by its own text.
@@ -41,21 +41,18 @@ COMMON, LEAST_WEIGHTED = 0.05, 3
 COSINE, SHARED, VERBATIM, ANSWERED = 0.55, 0.7, 0.9, 0.6
 #: Bytes of benchmark text that are searched at a time.
 BLOCK_BYTES = 4 << 20
-REMEMBERED_WORDS = 500_000
 
-_WORD = re.compile(r"[\W_]+")
+#: ASCII punctuation, which words are compared without.
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _ANSWER = re.compile(r"(?is)\b(?:answer|solution|ans)\s*[:=]\s*(.+)\Z")
 
 
-def plain(word: str) -> str:
-    return _WORD.sub("", word.lower())
+def plain_words(text: str | None) -> list[bytes]:
+    """The words of a text: lower case, without punctuation; what is nothing else is no word."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION).split() if text else []
 
 
-def plain_words(text: str | None) -> list[str]:
-    return [p for w in (text or "").split() if (p := plain(w))]
-
-
-def answer_words(text: str) -> list[str]:
+def answer_words(text: str) -> list[bytes]:
     """The answer of an item: what follows an answer marker, else its last sentence."""
     marked = _ANSWER.search(text)
     if marked:
@@ -87,7 +84,7 @@ class Items:
     """A block of benchmark items over their own vocabulary."""
 
     def __init__(self, rows: list[tuple[object, str]]):
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.items = []
         for item_id, text in rows:
             words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in plain_words(text)]
@@ -106,32 +103,17 @@ class Items:
         return (((bits[:, None] >> np.arange(SKETCH, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1).reshape(-1, SKETCH)
 
 
-class _Lookup(dict):
-    """Raw word -> vocabulary id, -1 for other words, -2 for what has no letter or digit."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        p = plain(raw)
-        out = self[raw] = self.vocabulary.get(p, -1) if p else -2
-        return out
-
-
-def _ids(lookup: _Lookup, text: str | None) -> np.ndarray:
-    words = text.split() if text else []
-    ids = np.fromiter(map(lookup.__getitem__, words), np.int32, len(words))
-    return ids[ids > -2]
+def _ids(vocabulary: dict[bytes, int], text: str | None) -> np.ndarray:
+    """The vocabulary ids of a text's words, -1 for other words."""
+    words, known = plain_words(text), vocabulary.get
+    return np.fromiter([known(w, -1) for w in words], np.int32, len(words))
 
 
 def _statistics(items: Items):
     """Rows (word, df, sums): per task, how many documents hold a word, and its rows of the sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup, signs, n = _Lookup(items.vocabulary), items.signs(), len(items.vocabulary)
+        lookup, signs, n = items.vocabulary, items.signs(), len(items.vocabulary)
         df, sums = np.zeros(n, np.int64), np.zeros((n, SKETCH), np.int64)
         for batch in batches:
             held, passage, base, own = [], [], 0, np.zeros(n, np.int64)
@@ -222,7 +204,7 @@ def _search(items: Items, weight: np.ndarray, latent: np.ndarray):
     item_of, direct = items.segment_of[asked], sorted(direct)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup = _Lookup(items.vocabulary)
+        lookup = items.vocabulary
         heavy = np.append(weight > 0, False)  # other words are -1
         for batch in batches:
             hits, scores = [], []

@@ -45,7 +45,7 @@ def test_blocks_give_the_same_result(spark, monkeypatch):
 def test_paraphrase_needs_its_answer():
     item = "the capital of the old kingdom lay on three hills beside a slow green river. which river was it? answer: grand aldemar northern branch"
     items = decontaminate.Items([(1, item)])
-    look = decontaminate._Lookup(items.vocabulary)
+    look = items.vocabulary
     said = lambda t: decontaminate.verified(decontaminate._ids(look, t).tolist(), 0, items.verify[0])
     same, answered = said(item.replace("old", "ancient").replace("three", "seven").replace("beside", "near"))
     assert decontaminate.SHARED <= same < 1 and answered == 1.0
