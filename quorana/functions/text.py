@@ -140,13 +140,13 @@ def carriers(text: Column) -> Column:
 def unescape(text: Column) -> Column:
     """\\uXXXX escapes of invisible characters as the characters themselves."""
     for c in INVISIBLE:
-        text = F.regexp_replace(text, rf"\\\\u(?i:{ord(c):04x})", c)
+        text = F.regexp_replace(text, rf"\\u(?i:{ord(c):04x})", c)
     return text
 
 
 def contains_word(text: Column, token: Column) -> Column:
     """How often a phrase occurs as whole words, in any case, blanks and hyphens alike."""
-    body = F.regexp_replace(F.regexp_replace(token, r"([.+*?^$(){}|\[\]\\\\])", r"\\\\$1"), r"[\s-]+", r"[\\\\s-]+")
+    body = F.regexp_replace(F.regexp_replace(token, r"([.+*?^$(){}|\[\]\\])", r"\\$1"), r"[\s-]+", r"[\\s-]+")
     return F.regexp_count(text, F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), body, F.lit("(?![A-Za-z0-9])")))
 
 
