@@ -1,0 +1,82 @@
+"""Secret spans against patterns applied plainly, and structures that must or must not be confirmed."""
+
+import base64
+import hashlib
+import json
+import random
+import re
+
+from quorana.llm import secret_scan as S
+
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute(s):
+    s = s or ""
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(s) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", s) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", s) if len(m[0]) >= 24]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    wide = (n.bit_length() + 7) // 8
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 | wide]) + n.to_bytes(wide, "big")) + body
+
+
+def number(n):
+    return der(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+
+
+RSA = der(0x30, number(0), *[number(random.Random(i).getrandbits(b)) for i, b in enumerate((1024, 17, 1023, 512, 512, 511, 511, 510))])
+PKCS8 = der(0x30, number(0), der(0x30, der(6, bytes.fromhex("2a864886f70d010101")), der(5)), der(4, RSA))
+SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"\0" * 40
+url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+JWT = f"{url(json.dumps({'alg': 'HS256', 'typ': 'JWT'}).encode())}.{url(b'{}')}.{url(b'signature')}"
+
+
+def kinds(text):
+    return [(k, text[a:b]) for k, a, b in S.find(text)]
+
+
+def test_patterns_equal_plain_search(spark):
+    rng = random.Random(7)
+    bits = ["password", "PassWd", "ſecret", "toKen", "api_key", "apikey", "API__KEY", '"', "'", " ", "  ", ":", "=", "==", "abcdef", "a.b-c/d", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "f", "é", "😀", "\n", "x"]
+    texts = [None, "", "AKIA" * 5, "deadbeef" * 400] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 16))) for _ in range(500)]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    for r in S.digest(df).collect():
+        want = brute(texts[r.doc_id])
+        assert ",".join(x for x in r.spans.split(",") if x.split(":")[0] in S.KINDS[:3]) == want
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [want.count(k) for k in ("assign", "access", "hex")]
+
+
+def test_structures_are_confirmed():
+    assert ("jwt", JWT) in kinds(f"é Bearer {JWT} x") and ("jwt", JWT) in kinds(f"v1.{JWT}")
+    for raw in (RSA, PKCS8):
+        for text in (base64.b64encode(raw).decode(), url(raw), raw.hex()):
+            assert ("der", text) in kinds(f"key {text} end")
+    assert [k for k, _ in kinds(base64.b64encode(SSH).decode())] == ["ssh"]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", base64.b64encode(RSA).decode())) + "\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", pem) in kinds(f"a\n{pem}\nb")
+
+
+def test_lookalikes_are_not_confirmed():
+    noise = base64.b64encode(random.Random(1).randbytes(300)).decode()
+    cut = base64.b64encode(RSA[:-3]).decode()
+    longer = base64.b64encode(RSA + b"x").decode()
+    certificate = base64.b64encode(der(0x30, der(0x30, number(5)), der(0x30), der(3, b"\0" * 80))).decode()
+    for text in (noise, cut, longer, certificate, "word " * 50, "eyJhbGciOiJ9.e30.x", f"{url(b'{}')}.{url(b'{}')}.x", "a" * 5000):
+        assert not [k for k, _ in kinds(text) if k not in S.KINDS[:3]], text[:40]
+
+
+def test_long_runs_take_linear_time():
+    for text in ("eyJ" + "a" * 300_000, "eyJ." * 60_000, "token" * 60_000, "-----BEGIN PRIVATE KEY-----" * 5000):
+        S.find(text)
+
+
+def test_redaction(spark):
+    rows = {r.i: r.redacted for r in S.redacted(spark.createDataFrame([(1, 'x password="hunter22" y'), (2, None), (3, "clean")], "i int, text string")).collect()}
+    assert rows == {1: 'x [secret]" y', 2: None, 3: "clean"}
