@@ -8,9 +8,9 @@
    all windows of the others are repeats. A leader with a single context is done. Where a
    leader has several, its contexts differ at an end, and only the earliest of each goes on.
 3. Suffix arrays. Those contexts, some per cent of the text, are dealt by leader. Each task
-   cuts its contexts into tokens that end in a blank or a line end (and at the leader, which
-   every window holds), ranks the tokens, and sorts the suffixes at token starts by linear
-   grouping (``suffix_order``). Suffixes that share a prefix of bytes are neighbours there, so
+   cuts its contexts into tokens, after some of the blanks by the byte before (and at the
+   leader, which every window holds), ranks the tokens, and sorts the suffixes at token starts
+   by linear grouping (``suffix_order``). Suffixes that share a prefix of bytes are neighbours there, so
    a window is its class among neighbours that agree on its bytes from its first token start
    on, together with the few bytes before. Of each class, all but the earliest are repeats.
 4. The documents take their repeats back and drop the bytes under them.
@@ -39,7 +39,9 @@ from quorana.workdir import Scratch
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1  # grams per window
 #: Bytes of text hashed at a time; windows compared at a time.
-PIECE, ROWS = 1 << 16, 1 << 16
+PIECE, PLACE, ROWS = 1 << 16, 17, 1 << 16
+#: Bytes of text whose leader rows are combined at a time.
+BATCH = 4 << 20
 #: Contexts whose suffixes are ordered together; keys with more than HOT contexts are settled window by window.
 RUN, HOT = 1 << 14, 1 << 11
 #: The order of documents without an id.
@@ -49,7 +51,8 @@ _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
-_TOKEN = re.compile(rb"[^ \n]*[ \n]|[^ \n]+")
+#: A token ends in a blank or line end after a byte that is a multiple of four, which is about every fourth word.
+_TOKEN = re.compile(rb"(?s).*?[" + b"".join(b"\\x%02x" % c for c in range(0, 256, 4)) + rb"][ \n]|.+")
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -74,13 +77,19 @@ def _sums(data: np.ndarray) -> np.ndarray:
 
 
 def _least_at(h: np.ndarray, width: int) -> np.ndarray:
-    """For each i, the leftmost place of the least of h[i : i + width]."""
-    n = len(h) - width + 1
-    out = np.empty(n, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, width)
-    for at in range(0, n, 1 << 13):
-        out[at : at + (1 << 13)] = view[at : at + (1 << 13)].argmin(axis=1)
-    return out + np.arange(n)
+    """For each i, the leftmost place of the least of h[i : i + width], by the upper bits of ``h``.
+
+    Places stand in the lower bits, so that one minimum gives both; windows grow by doubling.
+    """
+    place = _U((1 << PLACE) - 1)
+    best = (h & ~place) | np.arange(len(h), dtype=np.uint64)
+    size = 1
+    while 2 * size <= width:
+        best = np.minimum(best[:-size], best[size:])
+        size *= 2
+    if size < width:
+        best = np.minimum(best[: len(best) - (width - size)], best[width - size :])
+    return (best & place).astype(np.int64)
 
 
 def leaders(data: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -123,33 +132,39 @@ _LEADERS = "key long, context long, doc long, version int, first long, count int
 
 
 def _lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Leader rows of (doc, version, text). What a batch repeats of an earlier row of its own is settled here."""
+    """Leader rows of (doc, version, text). What a stretch of text repeats of an earlier row of its own is settled here."""
     for batch in batches:
-        parts = []
+        parts, size = [], 0
         for row, (doc, version, text) in enumerate(zip(batch["doc"], batch["version"], batch["text"], strict=True)):
             data = np.frombuffer(_raw(text), np.uint8)
             if len(data) >= WINDOW:
                 key, context, first, count, place = leaders(data)
                 parts.append((key, context, first, count, place, np.full(len(key), doc), np.full(len(key), version), np.full(len(key), row)))
-        if not parts:
-            continue
-        key, context, first, count, place, doc, version, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((first, row, doc, context, key))
-        same = np.r_[False, (key[order][1:] == key[order][:-1]) & (context[order][1:] == context[order][:-1])]
-        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]  # the earliest of each group
-        settled = np.zeros(len(key), bool)
-        settled[order] = same & ((doc[order] > doc[head]) | (row[order] == row[head]))
-        # a row that shares its id with the earliest may still repeat itself
-        again = np.r_[False, (row[order][1:] == row[order][:-1])] & same
-        settled[order] |= again
-        yield pd.DataFrame({"key": key, "context": context, "doc": doc, "version": version, "first": first, "count": count, "place": place, "settled": settled})
+                size += len(data)
+                if size >= BATCH:
+                    yield _combined(parts)
+                    parts, size = [], 0
+        if parts:
+            yield _combined(parts)
+
+
+def _combined(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    key, context, first, count, place, doc, version, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((first, row, doc, context, key))
+    same = np.r_[False, (key[order][1:] == key[order][:-1]) & (context[order][1:] == context[order][:-1])]
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]  # the earliest of each group
+    settled = np.zeros(len(key), bool)
+    # a row that shares its id with the earliest may still repeat itself
+    again = np.r_[False, row[order][1:] == row[order][:-1]] & same
+    settled[order] = same & ((doc[order] > doc[head]) | (row[order] == row[head])) | again
+    return pd.DataFrame({"key": key, "context": context, "doc": doc, "version": version, "first": first, "count": count, "place": place, "settled": settled})
 
 
 _FOUND = "doc long, version int, first long, count int, place int, key long, ask boolean"
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From leader rows sorted by (settled, key, context, doc, version, first): repeats, and contexts to ask for.
+    """From leader rows sorted by (key, context, doc, version, first): repeats, and contexts to ask for.
 
     The first row of a leader is held until the next shows whether the leader has a second context.
     """
@@ -248,8 +263,8 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, rows: np.ndarray,
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = base[owner] + offset
     lead = base[owner] + places[owner]
-    token = np.searchsorted(starts, start, side="right")
-    token = np.where(start == lead, np.searchsorted(starts, lead, side="left"), token)
+    # the first token start whose two deciding bytes lie in the window, or the leader
+    token = np.minimum(np.searchsorted(starts, start + 2, side="left"), np.searchsorted(starts, lead, side="left"))
     ahead = starts[token] - start
     head = np.zeros(len(start), np.uint64)
     for k in range(1, int(ahead.max(initial=0)) + 1):
@@ -308,27 +323,26 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": docs[owner[a]], "version": versions[owner[a]], "lo": start[a], "hi": start[b] + WINDOW})
 
 
-def _merged(spans: list, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Disjoint removed runs from (lo, hi) pairs; touching runs are one."""
-    if spans is None or not len(spans):
+def _merged(lo: np.ndarray | None, hi: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint removed runs; touching runs are one."""
+    if lo is None or not len(lo):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lo, hi = np.array([(s["lo"], s["hi"]) for s in spans], np.int64).T
     by = np.argsort(lo, kind="stable")
     lo, hi = lo[by], np.maximum.accumulate(hi[by])
     new = np.r_[True, lo[1:] > hi[:-1]]
     return lo[new], np.minimum(hi[np.r_[np.flatnonzero(new)[1:] - 1, len(hi) - 1]], n)
 
 
-def _kept(text: str | None, spans: list) -> tuple[bytes, int, int]:
+def _kept(text: str | None, lo: np.ndarray | None, hi: np.ndarray | None) -> tuple[bytes, int, int]:
     raw = _raw(text)
-    lo, hi = _merged(spans, len(raw))
+    lo, hi = _merged(lo, hi, len(raw))
     edges = np.r_[0, np.stack([lo, hi], 1).ravel(), len(raw)].tolist()
     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
     return kept, len(raw) - len(kept), len(lo)
 
 
 def repeated_spans(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, version, spans): the repeated byte ranges of each row that has any; ranges may overlap.
+    """(doc, version, lo, hi): the repeated byte ranges of each row that has any, as two lists; ranges may overlap.
 
     ``doc`` is the id, NAMELESS for null; ``version`` tells rows of one id apart.
     """
@@ -338,7 +352,7 @@ def repeated_spans(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     docs = keyed(df, id_column, text)
     leading = docs.mapInPandas(_lead, _LEADERS)
     dealt = F.when(F.col("settled"), F.xxhash64("doc", "first")).otherwise(F.col("key"))
-    sorted_rows = leading.withColumn("deal", dealt).repartition(parts, "deal").sortWithinPartitions("settled", "key", "context", "doc", "version", "first").drop("deal")
+    sorted_rows = leading.withColumn("deal", dealt).repartition(parts, "deal").sortWithinPartitions("deal", "context", "doc", "version", "first").drop("deal")
     found = scratch.write(sorted_rows.mapInPandas(_settle, _FOUND), "found")
     scratch.settle()
 
@@ -351,11 +365,11 @@ def repeated_spans(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     scratch.settle()
 
     ordered = wanted.where("hot IS NULL").drop("hot").repartition(parts, "key").sortWithinPartitions("key", "doc", "first").mapInPandas(_order_suffixes, _INTERVALS)
-    single = wanted.where("hot").drop("hot").mapInPandas(_single_windows, _LEADERS).repartition(parts, "key", "context").sortWithinPartitions("settled", "key", "context", "doc", "version", "first")
+    single = wanted.where("hot").drop("hot").mapInPandas(_single_windows, _LEADERS).repartition(parts, "key", "context").sortWithinPartitions("key", "context", "doc", "version", "first")
     single = single.mapInPandas(_settle, _FOUND).where(~F.col("ask"))
     ordered = scratch.write(ordered.unionByName(_intervals(single)), "ordered")
     scratch.settle()
-    return _intervals(found.where(~F.col("ask"))).unionByName(ordered).groupBy("doc", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return _intervals(found.where(~F.col("ask"))).unionByName(ordered).groupBy("doc", "version").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
 
 def _intervals(found: DataFrame) -> DataFrame:
@@ -372,23 +386,23 @@ def substring_report(df: DataFrame, id_column: str = "doc_id", text: str = "text
     """One row per row of ``df``: id, n_bytes, n_removed, n_spans (maximal removed runs) and the digest of what stays."""
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    def told(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    def told(texts: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
         out = []
-        for t, s in zip(texts, spans, strict=True):
-            kept, gone, runs = _kept(t, s)
+        for t, a, b in zip(texts, lo, hi, strict=True):
+            kept, gone, runs = _kept(t, a, b)
             out.append((len(kept) + gone, gone, runs, hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     got = keyed(df, id_column, text).join(repeated_spans(df, id_column, text), ["doc", "version"], "left")
-    return got.select(F.when(F.col("doc") != NAMELESS, F.col("doc")).alias(id_column), told(F.col("text"), F.col("spans")).alias("r")).select(id_column, "r.*")
+    return got.select(F.when(F.col("doc") != NAMELESS, F.col("doc")).alias(id_column), told(F.col("text"), F.col("lo"), F.col("hi")).alias("r")).select(id_column, "r.*")
 
 
 def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with the repeated bytes cut from its texts; a character that loses a byte goes whole."""
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _kept(t, s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
+    def cut(texts: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _kept(t, a, b)[0].decode("utf-8", "ignore") for t, a, b in zip(texts, lo, hi, strict=True)], dtype=object)
 
     got = keyed(df, id_column, text, tuple(df.columns)).join(repeated_spans(df, id_column, text), ["doc", "version"], "left")
-    return got.select(*[(cut(F.col("text"), F.col("spans")) if c == text else F.col(f"_c{k}")).alias(c) for k, c in enumerate(df.columns)])
+    return got.select(*[(cut(F.col("text"), F.col("lo"), F.col("hi")) if c == text else F.col(f"_c{k}")).alias(c) for k, c in enumerate(df.columns)])

@@ -16,6 +16,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 
+def _rise(up: list[int], group: list[int], members: list[list[int]], below: list[int], above: list[int]) -> None:
+    """Moves positions of one group into a new group right above it."""
+    old, new = group[up[0]], len(members)
+    members.append(up)
+    for p in up:
+        group[p] = new
+    top = above[old]
+    below.append(old)
+    above.append(top)
+    above[old] = new
+    if top >= 0:
+        below[top] = new
+
+
 def suffix_array(symbols: Sequence[int]) -> list[int]:
     """The suffix array of non-negative integers whose last one is the unique smallest."""
     n = len(symbols)
@@ -50,22 +64,15 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
             hop[i] = p
             if p >= 0:
                 pointed[p] = pointed.get(p, 0) + 1
-        if pointed:
+        if len(pointed) == 1:
+            ((p, _),) = pointed.items()
+            _rise([p], group, members, below, above)
+        elif pointed:
             risen: dict[tuple[int, int], list[int]] = {}
             for p, k in pointed.items():
                 risen.setdefault((group[p], k), []).append(p)
-            for (old, k), up in sorted(risen.items(), key=lambda x: (x[0][0], -x[0][1])):
-                new = len(members)
-                up.sort()
-                members.append(up)
-                for p in up:
-                    group[p] = new
-                top = above[old]
-                below.append(old)
-                above.append(top)
-                above[old] = new
-                if top >= 0:
-                    below[top] = new
+            for old, k in sorted(risen, key=lambda x: (x[0], -x[1])):
+                _rise(sorted(risen[old, k]), group, members, below, above)
         current = below[current]
 
     start = {}
