@@ -87,3 +87,17 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     a = sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "shard", "slot").collect()))
     b = sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "shard", "slot").collect()))
     assert a == b and a
+
+
+def test_stages_take_nulls_repeats_empty_tables_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(8)
+    base = [(d if d % 7 else None, words(rng, rng.choice([0, 12, 60, 4000])) if d % 5 else None, rng.choice([None, "en"]), rng.choice([None, "a", "b"]), None, "x") for d in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `shard` string"
+    spark.createDataFrame([(None, None), (1, ""), (2, words(rng, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, rows in (("some", base + base[:5]), ("none", [])):
+        docs = spark.createDataFrame(rows, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard"]
+        assert (docs.count() > 0) == bool(rows)
