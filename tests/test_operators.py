@@ -232,3 +232,15 @@ def test_greedy_spans_in_the_jvm(spark):
     spans = [(50, 3, 0, 3, "a"), (90, 2, 2, 4, "b"), (50, 5, 4, 9, "c"), (50, 5, 3, 8, "d")]
     got = one(spark, residual.greedy(F.col("x")), spans, "array<struct<rank: int, length: int, start: int, end: int, class: string>>")
     assert sorted(s["class"] for s in got) == ["b", "c"]
+
+
+def test_tokens_and_lists(spark):
+    from quorana.operators import redaction
+
+    df = spark.createDataFrame([("DATE", "3 May 2024"), ("DATE", "soon"), ("AMOUNT_EXACT", "EUR 5k"), ("PERSON", "Ann")], "k string, o string")
+    got = [r.t for r in df.select(redaction.make_token(F.col("k"), F.col("o"), F.lit("ID"), F.lit(-2)).alias("t")).collect()]
+    assert got == ["⟦DATE:2024-05-01⟧", "⟦DATE:ID⟧", "⟦AMOUNT:1k-10k⟧", "⟦PERSON:ID⟧"]
+    lists = spark.createDataFrame([("CLIENT", "Acme  Bank"), ("COUNTERPARTY", "ACME bank."), ("ALLOW", "Blue")], "list string, term string")
+    terms = spark.createDataFrame([("(Acme Bank)",), ("blue",), ("none",)], "t string")
+    assert {r.t: (r["class"], r.allowed) for r in redaction.listed_class(terms, lists, "t").collect()} == {"(Acme Bank)": ("COUNTERPARTY", False), "blue": (None, True), "none": (None, False)}
+    assert [one(spark, redaction.safe_path(F.col("x")), p) for p in ("a/b.json", "../a", "/a", "a/..", "a\\b", "C:/x", "", "a..b")] == [True, False, False, False, False, False, False, True]
