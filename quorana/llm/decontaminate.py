@@ -31,9 +31,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quorana.workdir import Scratch
+from quorana.llm.batches import document_batches
 
 #: Words per passage and between passage starts; and sketch columns, which bound the rank.
 PASSAGE, STEP, SKETCH = 32, 16, 64
@@ -197,27 +196,25 @@ def verified(ids: list[int], at: int, verify: tuple) -> tuple[float, float]:
 
 
 def _search(items: Items, weight: np.ndarray, latent: np.ndarray):
-    """Each row with ``_items`` and ``_scores``: what is verified in its text."""
+    """struct(items, scores) of a text: what is verified in it."""
     direct = {k for k, (_, w, _) in enumerate(items.items) if (weight[list(set(w))] > 0).sum() < LEAST_WEIGHTED}
     asked = [k for k, i in enumerate(items.segment_of) if i not in direct]
     queries = _unit(np.stack([latent[items.segments[k]].sum(axis=0) for k in asked])) if asked else np.zeros((0, latent.shape[1]), np.float32)
     item_of, direct = items.segment_of[asked], sorted(direct)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup = items.vocabulary
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         heavy = np.append(weight > 0, False)  # other words are -1
-        for batch in batches:
+        for texts in batches:
             hits, scores = [], []
-            for text in batch["text"]:
-                ids = _ids(lookup, text)
-                found = _verified_items(ids, heavy) if len(ids) else {}
-                named = {}
-                for k, share in found.items():
+            for text in texts:
+                ids = _ids(items.vocabulary, text)
+                named: dict = {}
+                for k, share in (_verified_items(ids, heavy) if len(ids) else {}).items():
                     i = items.items[k][0]
                     named[i] = max(share, named.get(i, 0.0))
                 hits.append(sorted(named))
                 scores.append([named[i] for i in sorted(named)])
-            yield batch.drop(columns="text").assign(_items=hits, _scores=scores)
+            yield pd.DataFrame({"items": hits, "scores": scores})
 
     def _verified_items(ids: np.ndarray, heavy: np.ndarray) -> dict[int, float]:
         starts = np.arange(0, max(1, len(ids) - PASSAGE + STEP), STEP)
@@ -241,7 +238,8 @@ def _search(items: Items, weight: np.ndarray, latent: np.ndarray):
                     found[k] = max(found.get(k, 0.0), share)
         return found
 
-    return run
+    # evaluated once, wherever its fields are used
+    return F.pandas_udf(run, "items array<long>, scores array<double>").asNondeterministic()
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[object, str]]]:
@@ -255,31 +253,26 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
 
 def _contaminated(df: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
     """``_c0``... for the columns of ``df``, ``_items`` (ids of the items found) and ``_scores`` (the share of each)."""
-    scratch = Scratch(df.sparkSession, "decontaminate")
     body = F.col(f"_c{df.columns.index(text)}")
     found = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(df.columns)])
     found = found.withColumn("_items", F.array().cast("array<long>")).withColumn("_scores", F.array().cast("array<double>"))
     documents = None
-    for k, rows in enumerate(_blocks(benchmark, item_id, item_text)):
+    for rows in _blocks(benchmark, item_id, item_text):
         items = Items(rows)
         if not items.items:
             continue
         documents = df.count() if documents is None else documents
         told = df.select(F.col(text).alias("text")).mapInPandas(_statistics(items), "word long, df long, sums array<long>")
         told = told.groupBy("word").agg(F.sum("df").alias("df"), F.array(*[F.sum(F.col("sums")[c]) for c in range(SKETCH)]).alias("sums"))
-        # as many rows as the block has words
-        told = sorted((r.word, r.df, r.sums) for r in told.collect())
+        with document_batches(df.sparkSession):
+            # as many rows as the block has words
+            told = sorted((r.word, r.df, r.sums) for r in told.collect())
         n = len(items.vocabulary)
         sums = np.array([r[2] for r in told] or [[0] * SKETCH] * n)
         weight = weights(np.array([r[1] for r in told] or [0] * n), documents)
         weight[~sums.any(axis=1)] = 0.0  # common wherever it occurs: items of such words are compared directly
-        latent = latent_words(weight, sums, items.signs())
-        before = found.withColumnsRenamed({"_items": "_had", "_scores": "_had_scores"})
-        schema = T.StructType(before.schema.fields).add("_items", T.ArrayType(T.LongType())).add("_scores", T.ArrayType(T.DoubleType()))
-        after = before.withColumn("text", body).mapInPandas(_search(items, weight, latent), schema)
-        found = after.withColumn("_items", F.concat("_had", "_items")).withColumn("_scores", F.concat("_had_scores", "_scores")).drop("_had", "_had_scores")
-        if k:
-            found = scratch.write(found, f"block{k}")
+        search = _search(items, weight, latent_words(weight, sums, items.signs()))
+        found = found.withColumn("_r", search(body)).withColumn("_items", F.concat("_items", "_r.items")).withColumn("_scores", F.concat("_scores", "_r.scores")).drop("_r")
     return found
 
 

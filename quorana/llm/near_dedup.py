@@ -10,8 +10,8 @@ stop after a round or two.
 Documents with equal sets form one class. The signatures of classes are cut into bands; the
 classes that share a band are compared with a few hubs of that bucket, not with each other,
 and the links that hold on the full sets are grouped. What the hubs left apart is compared
-in blocks that are bounded in size, where the signatures pick the pairs worth verifying. So
-no bucket is capped and no group is written out as all of its pairs.
+on the full sets as well, in blocks that are bounded in size and give back only the links
+that join components. So no bucket is capped and no group is written out as all of its pairs.
 
 Null and empty texts have no shingles, are linked with nothing and are kept. Rows that
 repeat an id are one document, linked by any of its texts; documents without an id are
@@ -29,16 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorana.llm.batches import document_batches
 from quorana.llm.components import components
 from quorana.workdir import Scratch
 
 SHINGLE, COMPONENTS = 5, 128
 #: The chance that a pair at the threshold shares no band stays below this.
 MISS = 1e-6
-#: Standard errors below the threshold at which a signature estimate still asks for verification.
-SLACK = 5.0
-#: Classes per block in the comparison of what the hubs left apart; a block pair is one task's row group.
-BLOCK = 64
+#: Classes per block in the comparison of what the hubs left apart, and shingles per product there.
+BLOCK, COLUMNS = 64, 1 << 16
+#: Bands of the first round.
+FIRST_BANDS = 3
 #: Places over which the rows of one class are dealt in the last join.
 SPREAD = 64
 #: Elements per vectorised round, and bytes hashed at a time.
@@ -153,20 +154,18 @@ def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(text: Column, rows: int, k: int = SHINGLE, m: int = COMPONENTS) -> Column:
-    """struct(n, set_key, bands, signature) of a text; the last three are null without shingles."""
+    """struct(n, set_key, bands) of a text; the last two are null without shingles."""
 
-    @F.pandas_udf("n long, set_key binary, bands array<long>, signature binary")
+    @F.pandas_udf("n long, set_key binary, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out: list = [(0, None, None, None)] * len(texts)
+            out: list = [(0, None, None)] * len(texts)
             at, held, total = [], [], 0
 
             def flush() -> None:
                 if at:
-                    found = superminhash(held, m)
-                    short = _mixed(found).astype(np.uint16)
-                    for i, s, b, sig in zip(at, held, band_hashes(found, rows), short, strict=True):
-                        out[i] = (len(s), hashlib.md5(s.tobytes()).digest(), b, sig.tobytes())
+                    for i, s, b in zip(at, held, band_hashes(superminhash(held, m), rows), strict=True):
+                        out[i] = (len(s), hashlib.md5(s.tobytes()).digest(), b)
                     at.clear()
                     held.clear()
 
@@ -180,7 +179,7 @@ def sketches(text: Column, rows: int, k: int = SHINGLE, m: int = COMPONENTS) ->
                         flush()
                         total = 0
             flush()
-            yield pd.DataFrame(out, columns=["n", "set_key", "bands", "signature"])
+            yield pd.DataFrame(out, columns=["n", "set_key", "bands"])
 
     return sketch(text)
 
@@ -208,19 +207,46 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
     return similar(a, b)
 
 
-def _near_pairs(blocks: DataFrame, least: float) -> DataFrame:
-    """(a, b) within one block pair, of different components, whose signatures agree on a share of ``least``."""
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two bounded lists of sets, as products of incidence rows."""
+    words, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(words), COLUMNS):
+        inside = (at >= lo) & (at < lo + COLUMNS)
+        rows = np.zeros((len(left) + len(right), min(COLUMNS, len(words) - lo)), np.float32)
+        rows[owner[inside], at[inside] - lo] = 1
+        out += rows[: len(left)] @ rows[len(left) :].T
+    return out
+
+
+def _linked(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links between the two sides of each block pair that join components; at most one less than it has components."""
 
-    def near(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, roots, block = rows["id"].to_numpy(), rows["root"].to_numpy(), rows["own"].to_numpy()
-        signatures = np.stack([np.frombuffer(s, np.uint16) for s in rows["signature"]])
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        agree = (signatures[a][:, None, :] == signatures[b][None, :, :]).mean(axis=2)
-        x, y = np.nonzero((agree >= least) & (roots[a][:, None] != roots[b][None, :]) & (ids[a][:, None] != ids[b][None, :]))
-        return pd.DataFrame({"a": ids[a][x], "b": ids[b][y]})
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [rows[rows["guest"] == g] for g in (False, True)]
+        out: list[tuple[int, int]] = []
+        if all(map(len, sides)):
+            sets = [[np.frombuffer(x, np.uint64) for x in side["set"]] for side in sides]
+            both = _shared(*sets)
+            sizes = [np.array([len(x) for x in own]) for own in sets]
+            similar = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+            ids, roots = [side["id"].to_numpy() for side in sides], [side["root"].to_numpy() for side in sides]
+            parent: dict[int, int] = {}
 
-    return blocks.groupBy("bucket", "i", "j").applyInPandas(near, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            def top(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for i, j in zip(*np.nonzero(similar & (roots[0][:, None] != roots[1][None, :])), strict=True):
+                p, q = top(int(roots[0][i])), top(int(roots[1][j]))
+                if p != q:
+                    parent[p] = q
+                    out.append(tuple(sorted((int(ids[0][i]), int(ids[1][j])))))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return blocks.groupBy("bucket", "k", "m").applyInPandas(links, "a long, b long").distinct()
 
 
 class _Search:
@@ -231,10 +257,10 @@ class _Search:
         self.scratch = Scratch(df.sparkSession, "near")
         self.docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
         got = self.docs.withColumn("s", sketches(F.col("text"), band_rows(self.threshold)))
-        self.sketched = self.scratch.write(got.select("id", F.col("s.n").alias("n"), F.col("s.set_key").alias("set_key"), F.col("s.bands").alias("bands"), F.col("s.signature").alias("signature")), "sketched")
-        one = self.sketched.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.min("signature").alias("signature"))
+        self.sketched = self.scratch.write(got.select("id", F.col("s.n").alias("n"), F.col("s.set_key").alias("set_key"), F.col("s.bands").alias("bands")), "sketched")
+        one = self.sketched.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
         self.classes = self.scratch.write(one.where(F.col("id").isNotNull()), "classes")
-        members = self.classes.select("id", F.explode("bands").alias("bucket"))
+        members = self.classes.select("id", F.posexplode("bands").alias("band", "bucket"))
         hubs = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("h0"), F.max("id").alias("h1"), *[F.min(F.col("id").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"h{k + 2}") for k, o in enumerate(ORDERS)])
         shared = self.scratch.write(hubs.where("size > 1"), "hubs")
         self.members = self.scratch.write(members.join(shared, "bucket"), "members")
@@ -253,17 +279,25 @@ class _Search:
         )
         return self.scratch.write(both.where(_similar(F.col("x"), F.col("y"), self.percent)).select("a", "b").distinct(), f"links-{label}")
 
-    def hub_pairs(self, members: DataFrame, hubs: list[str], label: str) -> DataFrame:
+    def hub_pairs(self, members: DataFrame, hubs: list[str]) -> DataFrame:
         rows = members.select("id", F.explode(F.array(*hubs)).alias("hub")).where("id != hub")
-        return self.scratch.write(rows.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), f"pairs-{label}")
-
-    def rooted(self, links: DataFrame, label: str) -> DataFrame:
-        """The members of buckets whose classes are not all in one component yet, each with its root."""
-        roots = components(links)
-        at = self.members.where("size > 3").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        return rows.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+    def new_pairs(self, pairs: DataFrame, roots: DataFrame | None, tested: list[DataFrame], label: str) -> DataFrame:
+        """Those of the pairs that join two components and were not tested before."""
+        if roots is not None:
+            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        for done in tested:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        return self.scratch.write(pairs, f"pairs-{label}")
+
+    def open_members(self, roots: DataFrame, least: int, label: str) -> DataFrame:
+        """The members of buckets of ``least`` or more classes that are not all in one component yet, each with its root."""
+        at = self.members.where(F.col("size") >= least).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         at = self.scratch.write(at, f"rooted-{label}")
         apart = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-        return self.scratch.write(at.join(self.scratch.write(apart, f"apart-{label}"), "bucket"), f"open-{label}")
+        return at.join(self.scratch.write(apart, f"apart-{label}"), "bucket")
 
     def same_document(self) -> DataFrame:
         """Links between the classes of an id that stands for several texts."""
@@ -272,32 +306,37 @@ class _Search:
         return named.join(twice, "b").join(self.classes.select("set_key", F.col("id").alias("a")), "set_key").where("a != b").select("a", "b").distinct()
 
     def links(self) -> DataFrame:
-        """Links that connect whatever is connected; not all links."""
-        found = self.verified(self.hub_pairs(self.members, ["h0", "h1"], "1"), "1")
-        # buckets of three or fewer are done: each pair held a hub
-        rest = self.rooted(found, "1")
-        tested = self.hub_pairs(rest, ["h2", "h3"], "2").join(self.scratch_read("pairs-1"), ["a", "b"], "left_anti")
-        tested = self.scratch.write(tested, "tested-2")
-        found = self.scratch.write(found.unionByName(self.verified(tested, "2")), "found-2")
-        rest = self.rooted(found, "2")
-        found = found.unionByName(self.verified(self.block_pairs(rest), "3"))
-        return found.unionByName(self.same_document())
-
-    def scratch_read(self, name: str) -> DataFrame:
-        return self.docs.sparkSession.read.schema("a long, b long").parquet(f"{self.scratch.root}/{name}")
-
-    def block_pairs(self, rest: DataFrame) -> DataFrame:
-        """Pairs between different components of a bucket, found block against block."""
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        signed = rest.select("bucket", "id", "root", "size").join(self.classes.select("id", "signature"), "id")
-        spread = signed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "size")
-        least = self.threshold - SLACK * (self.threshold * (1 - self.threshold) / COMPONENTS) ** 0.5
-        pairs = _near_pairs(spread, least)
-        for name in ("pairs-1", "tested-2"):
-            pairs = pairs.join(self.scratch_read(name), ["a", "b"], "left_anti")
-        return self.scratch.write(pairs, "pairs-3")
+        """Links that connect whatever is connected; not all links.
+
+        A first round over a few bands joins large groups at one pair per member and band; the
+        next ones look only at buckets that are still apart, and at pairs that would join two components.
+        """
+        found, roots, tested = None, None, []
+        for label, hubs, least in (("0", ["h0"], 2), ("1", ["h0", "h1"], 2), ("2", ["h2", "h3"], 4)):  # buckets of three or fewer are done after the second
+            rows = self.members.where(F.col("band") < FIRST_BANDS) if roots is None else self.open_members(roots, least, label)
+            pairs = self.new_pairs(self.hub_pairs(rows, hubs), roots, tested, label)
+            tested.append(pairs)
+            links = self.verified(pairs, label)
+            found = links if found is None else found.unionByName(links)
+            roots = self.scratch.write(components(found), f"roots-{label}")
+        return found.unionByName(self.block_links(self.open_members(roots, 4, "3"))).unionByName(self.same_document())
+
+    def block_links(self, rest: DataFrame) -> DataFrame:
+        """Links between what the hubs left apart: all members of a bucket against those outside its largest component.
+
+        Both are cut into blocks of bounded size, and each pair of blocks is compared on the full sets.
+        """
+        rest = self.scratch.write(rest.select("bucket", "id", "root", "size"), "rest")
+        per = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        largest = self.scratch.write(per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top")), "largest")
+        at = rest.join(largest, "bucket").withColumn("outside", F.col("root") != F.col("top.root"))
+        blocks, guests = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int")
+        dealt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+        to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        hosts = at.select("bucket", "id", "root", F.lit(False).alias("guest"), dealt(blocks, 1).alias("k"), to(guests).alias("m"))
+        visitors = at.where("outside").select("bucket", "id", "root", F.lit(True).alias("guest"), dealt(guests, 2).alias("m"), to(blocks).alias("k"))
+        spread = self.scratch.write(hosts.unionByName(visitors), "spread")
+        return self.scratch.write(_linked(spread.join(self.sets, "id"), self.percent), "links-3")
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,8 +344,10 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_column: str = "doc_id",
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets.
     """
-    search = _Search(df, percent, id_column, text)
-    roots = search.scratch.write(components(search.links()), "roots").withColumnRenamed("node", "class_id")
+    with document_batches(df.sparkSession):  # all of the Python steps run here
+        search = _Search(df, percent, id_column, text)
+        links = search.scratch.write(search.links(), "links")
+    roots = search.scratch.write(components(links), "roots").withColumnRenamed("node", "class_id")
     # a row that is the only one of its class, in no link, is its own component
     named = search.classes.select("set_key", "copies", F.col("id").alias("class_id")).join(roots, "class_id", "left").where("copies > 1 OR root IS NOT NULL")
     named = search.scratch.write(named.select("set_key", F.coalesce("root", "class_id").alias("root")), "named")

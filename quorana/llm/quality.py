@@ -110,10 +110,10 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def from_text(text: Column) -> Callable[[str], Column]:
-    """Measures computed when, and only when, a rule asks for them."""
+def from_text(text: Column, counted: Column | None = None) -> Callable[[str], Column]:
+    """Measures computed when, and only when, a rule asks for them; ``counted`` is the number of words if it is at hand."""
     own = {
-        "n_words": lambda: n_words(text), "n_repeat_words": lambda: let(words(text), repeat_words), "n_symbols": lambda: n_symbols(text), "n_shouted": lambda: shouted_words(text),
+        "n_words": lambda: n_words(text) if counted is None else counted, "n_repeat_words": lambda: let(words(text), repeat_words), "n_symbols": lambda: n_symbols(text), "n_shouted": lambda: shouted_words(text),
         "word_chars": lambda: word_chars(text), "n_dup_lines": lambda: dup_lines(text), "n_lines": lambda: n_lines(text),
     }
     return lambda name: own[name]()
@@ -158,7 +158,8 @@ def first_failure(rules: Sequence[Rule], measure: Callable[[str], Column]) -> Co
 def quality_filter(df: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None) -> DataFrame:
     """The documents that pass every rule, with their columns unchanged."""
     order = [e.rule for e in estimated(df, rules or default_rules(), text)]
-    return df.where(first_failure(order, from_text(F.col(text))).isNull())
+    # nearly every rule needs the number of words, so it is counted once
+    return df.where(let(n_words(F.col(text)), lambda n: first_failure(order, from_text(F.col(text), n)).isNull()))
 
 
 def quality_report(df: DataFrame, id_column: str = "doc_id", text: str = "text", rules: Sequence[Rule] | None = None) -> DataFrame:
