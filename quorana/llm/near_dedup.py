@@ -37,7 +37,7 @@ SHINGLE, COMPONENTS = 5, 128
 #: The chance that a pair at the threshold shares no band stays below this.
 MISS = 1e-6
 #: Classes per block in the comparison of what the hubs left apart, and shingles per product there.
-BLOCK, COLUMNS = 64, 1 << 16
+BLOCK, COLUMNS = 256, 1 << 14
 #: Bands of the first round.
 FIRST_BANDS = 3
 #: Places over which the rows of one class are dealt in the last join.
