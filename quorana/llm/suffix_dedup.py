@@ -128,7 +128,12 @@ def _raw(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-_LEADERS = "key long, context long, doc long, version int, first long, count int, place int, settled boolean"
+#: ``mark`` is twice the version, plus 1 for what is settled; ``at`` holds first, count and place, which take 7 bits each.
+_LEADERS = "key long, context long, doc long, mark long, at long"
+
+
+def _packed(first: np.ndarray, count: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return first.astype(np.int64) << 16 | count.astype(np.int64) << 8 | place.astype(np.int64)
 
 
 def _lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,14 +162,17 @@ def _combined(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
     # a row that shares its id with the earliest may still repeat itself
     again = np.r_[False, row[order][1:] == row[order][:-1]] & same
     settled[order] = same & ((doc[order] > doc[head]) | (row[order] == row[head])) | again
-    return pd.DataFrame({"key": key, "context": context, "doc": doc, "version": version, "first": first, "count": count, "place": place, "settled": settled})
+    # what is settled only passes through; it is dealt evenly
+    key[settled] = _mixed(doc[settled].view(np.uint64) * _U(_ODD) + first[settled].astype(np.uint64)).view(np.int64)
+    context[settled] = 0
+    return pd.DataFrame({"key": key, "context": context, "doc": doc, "mark": version.astype(np.int64) * 2 + settled, "at": _packed(first, count, place)})
 
 
 _FOUND = "doc long, version int, first long, count int, place int, key long, ask boolean"
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From leader rows sorted by (key, context, doc, version, first): repeats, and contexts to ask for.
+    """From leader rows sorted by all of their columns: repeats, and contexts to ask for.
 
     The first row of a leader is held until the next shows whether the leader has a second context.
     """
@@ -172,14 +180,17 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last_key = last_context = head_doc = last_doc = last_version = last_first = None
     names = ["doc", "version", "first", "count", "place", "key"]
     for batch in batches:
-        out = [batch[batch["settled"]][names].assign(ask=False)]
-        rest = batch[~batch["settled"]]
+        at, mark = batch["at"].to_numpy(), batch["mark"].to_numpy()
+        batch = batch.assign(version=(mark >> 1).astype(np.int32), first=at >> 16, count=(at >> 8 & 255).astype(np.int32), place=(at & 255).astype(np.int32))
+        settled = (mark & 1).astype(bool)
+        out = [batch[settled][names].assign(ask=False)]
+        rest = batch[~settled]
         if len(rest):
             key, context, doc = (rest[c].to_numpy() for c in ("key", "context", "doc"))
             new_key = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
             new_context = new_key | np.r_[last_context is None or context[0] != last_context, context[1:] != context[:-1]]
-            at = np.maximum.accumulate(np.where(new_context, np.arange(len(rest)), -1))
-            head = np.where(at >= 0, doc[np.maximum(at, 0)], head_doc or 0)
+            begin = np.maximum.accumulate(np.where(new_context, np.arange(len(rest)), -1))
+            head = np.where(begin >= 0, doc[np.maximum(begin, 0)], head_doc or 0)
             version, first = rest["version"].to_numpy(), rest["first"].to_numpy()
             before = lambda x, last: np.r_[x[:1] if last is None else last, x[:-1]]
             later = ~new_context & (doc == before(doc, last_doc)) & (version == before(version, last_version)) & (first > before(first, last_first))
@@ -213,7 +224,8 @@ def _single_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts.append((_mixed(own), _mixed(own * _U(_ODD) + (place - at).astype(np.uint64)), first + at, np.full(count, doc), np.full(count, version)))
         if parts:
             key, context, first, doc, version = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pd.DataFrame({"key": key.view(np.int64), "context": context.view(np.int64), "doc": doc, "version": version, "first": first, "count": 1, "place": 0, "settled": False})
+            ones = np.ones(len(key), np.int64)
+            yield pd.DataFrame({"key": key.view(np.int64), "context": context.view(np.int64), "doc": doc, "mark": version.astype(np.int64) * 2, "at": _packed(first, ones, 0 * ones)})
 
 
 def repeated_windows(contexts: list[bytes], docs: np.ndarray, rows: np.ndarray, firsts: np.ndarray, counts: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -350,9 +362,8 @@ def repeated_spans(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     scratch = Scratch(spark, "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = keyed(df, id_column, text)
-    leading = docs.mapInPandas(_lead, _LEADERS)
-    dealt = F.when(F.col("settled"), F.xxhash64("doc", "first")).otherwise(F.col("key"))
-    sorted_rows = leading.withColumn("deal", dealt).repartition(parts, "deal").sortWithinPartitions("deal", "context", "doc", "version", "first").drop("deal")
+    columns = ("key", "context", "doc", "mark", "at")
+    sorted_rows = docs.mapInPandas(_lead, _LEADERS).repartition(parts, "key").sortWithinPartitions(*columns)
     found = scratch.write(sorted_rows.mapInPandas(_settle, _FOUND), "found")
     scratch.settle()
 
@@ -365,7 +376,7 @@ def repeated_spans(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     scratch.settle()
 
     ordered = wanted.where("hot IS NULL").drop("hot").repartition(parts, "key").sortWithinPartitions("key", "doc", "first").mapInPandas(_order_suffixes, _INTERVALS)
-    single = wanted.where("hot").drop("hot").mapInPandas(_single_windows, _LEADERS).repartition(parts, "key", "context").sortWithinPartitions("key", "context", "doc", "version", "first")
+    single = wanted.where("hot").drop("hot").mapInPandas(_single_windows, _LEADERS).repartition(parts, "key", "context").sortWithinPartitions(*columns)
     single = single.mapInPandas(_settle, _FOUND).where(~F.col("ask"))
     ordered = scratch.write(ordered.unionByName(_intervals(single)), "ordered")
     scratch.settle()
