@@ -14,6 +14,7 @@ library counts it: one token, which also cuts the text for the pre-tokeniser.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers (each a few dozen bytes); beyond it the memory starts anew.
-REMEMBERED_PIECES = 500_000
+REMEMBERED_PIECES = 1_000_000
 NEVER = 1 << 60
 #: Longer pieces are rare and are not remembered.
 LONGEST_REMEMBERED = 64
@@ -50,14 +51,14 @@ class PrefixCounter:
         self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
         for (a, b), k in self.rank.items():
             self.made.setdefault(a + b, (k, a, b))
-        self.vocab = {raw(s) for s in told["model"]["vocab"] if all(c in as_byte for c in s)}
+        self.vocab = {raw(s): k for k, s in enumerate(x for x in told["model"]["vocab"] if all(c in as_byte for c in x))}
+        self.tokens = list(self.vocab)
         self.longest = max(map(len, self.vocab))
         self.special = [t["content"] for t in told["added_tokens"]]
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._pieces = regex.compile(pattern).findall
         self._runs = regex.compile(r"\s{2,}(?=\S)").finditer
-        self._pair: dict[tuple[bytes, bytes], bool] = {}
-        self._own: dict[bytes, bool] = {}
+        self._pair: dict[int, bool] = {}
         self._table: dict[str, bytes] = {}
 
     def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
@@ -70,16 +71,8 @@ class PrefixCounter:
                 return out[::-1]
             ends, token = made[0], made[1 + side]
 
-    def _follows(self, a: bytes, b: bytes) -> bool:
-        """Whether the encoding of a + b is a, b: no merge across the seam comes before those that build a and b."""
-        got = self._pair.get((a, b))
-        if got is None:
-            if len(self._pair) > REMEMBERED_PIECES:
-                self._pair.clear()
-            got = self._pair[a, b] = self._seam_holds(a, b)
-        return got
-
     def _seam_holds(self, a: bytes, b: bytes) -> bool:
+        """Whether the encoding of a + b is a, b: no merge across the seam comes before those that build a and b."""
         left, right, rank = self._spine(a, 1), self._spine(b, 0), self.rank.get
         i = j = 0
         while True:
@@ -105,29 +98,38 @@ class PrefixCounter:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _alone(self, a: bytes) -> bool:
-        got = self._own.get(a)
-        if got is None:
-            got = self._own[a] = self._merge(a) == [a]
+    def _may_follow(self, pair: int) -> bool:
+        """Whether the encoding of two entries side by side is those two (or of one alone, with none before, that one)."""
+        if len(self._pair) > REMEMBERED_PIECES:
+            self._pair.clear()
+        a, b = divmod(pair, len(self.tokens))
+        before = self.tokens[a - 1] if a else b""
+        token = self.tokens[b]
+        got = self._pair[pair] = self._seam_holds(before, token) if a else self._merge(token) == [token]
         return got
 
     def _bytes_table(self, piece: bytes) -> list[int]:
         """Token counts of all byte prefixes of one piece."""
-        vocab, longest = self.vocab, self.longest
-        count, last = [0], [b""]
+        entry, known, longest, width = self.vocab.get, self._pair.get, self.longest, len(self.tokens)
+        count, last = [0], [0]  # last: 1 + the entry that ends there, times the number of entries
         for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - longest), i):
-                t = piece[j:i]
-                if t in vocab and (self._follows(last[j], t) if j else self._alone(t)):
-                    count.append(count[j] + 1)
-                    last.append(t)
-                    break
+            for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):  # exactly one fits, most likely a short one
+                t = entry(piece[j:i])
+                if t is not None:
+                    pair = last[j] + t
+                    ok = known(pair)
+                    if ok is None:
+                        ok = self._may_follow(pair)
+                    if ok:
+                        count.append(count[j] + 1)
+                        last.append((t + 1) * width)
+                        break
             else:
                 raise ValueError("the vocabulary lacks a byte")
         return count
 
-    def _piece_table(self, piece: str) -> np.ndarray:
-        """Counts of the code point prefixes 1..n of one piece, each cut as the pre-tokeniser cuts the prefix."""
+    def _piece_table(self, piece: str) -> array:
+        """Counts (int32) of the code point prefixes 1..n of one piece, each cut as the pre-tokeniser cuts the prefix."""
         raw = piece.encode()
         table = self._bytes_table(raw)
         if len(raw) == len(piece):
@@ -139,7 +141,7 @@ class PrefixCounter:
                 out.append(table[at])
         if piece[0] == "'" and len(piece) > 2:  # a contraction cut short falls into two pieces
             out = [sum(self._bytes_table(x.encode())[-1] for x in self._pieces(piece[:q])) for q in range(1, len(piece))] + [out[-1]]
-        return np.array(out, dtype=np.int32)
+        return array("i", out)
 
     def _of_piece(self, piece: str) -> bytes:
         got = self._table.get(piece)
