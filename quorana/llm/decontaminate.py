@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from quorana.llm.batches import document_batches
 
-#: Words per passage and between passage starts; and sketch columns, which bound the rank.
-PASSAGE, STEP, SKETCH = 32, 16, 64
+#: Words per passage, and sketch columns, which bound the rank. Items of SHORT words or fewer are
+#: sought in passages of half the size, which other words dilute less. Passages start every half of their size.
+PASSAGE, SKETCH, SHORT = 32, 64, 24
 COMMON, LEAST_WEIGHTED = 0.05, 3
 COSINE, SHARED, VERBATIM, ANSWERED = 0.55, 0.7, 0.9, 0.6
 #: Bytes of benchmark text that are searched at a time.
@@ -92,9 +93,11 @@ class Items:
                 self.items.append((item_id, words, answer))
         # an alignment misses at most (1 - SHARED) of the item's words, so at least this many different ones must be there
         self.verify = [(_masks(w), len(w), _masks(a), len(a), frozenset(w), len(set(w)) - int((1 - SHARED) * len(w) + 1e-9)) for _, w, a in self.items]
-        segments = [(k, w[at : at + PASSAGE]) for k, (_, w, _) in enumerate(self.items) for at in (range(0, max(1, len(w) - PASSAGE + STEP), STEP) if len(w) > PASSAGE else [0])]
-        self.segment_of = np.array([k for k, _ in segments], np.int64)
-        self.segments = [s for _, s in segments]
+
+    def segments(self, size: int) -> list[tuple[int, list[int]]]:
+        """(item, words) of the stretches of the items that are sought in passages of ``size`` words."""
+        mine = [(k, w) for k, (_, w, _) in enumerate(self.items) if (len(w) <= SHORT) == (size < PASSAGE)]
+        return [(k, w[at : at + size]) for k, w in mine for at in _starts(len(w), size)]
 
     def signs(self) -> np.ndarray:
         """The random sign row of each word, from a hash of the word."""
@@ -108,6 +111,11 @@ def _ids(vocabulary: dict[bytes, int], text: str | None) -> np.ndarray:
     return np.fromiter([known(w, -1) for w in words], np.int32, len(words))
 
 
+def _starts(n: int, size: int) -> range:
+    """Where passages of ``size`` words start in a text of n words: every half passage, the last one may be cut."""
+    return range(0, max(1, n - size // 2), size // 2)
+
+
 def _statistics(items: Items):
     """Rows (word, df, sums): per task, how many documents hold a word, and its rows of the sketch."""
 
@@ -197,10 +205,12 @@ def verified(ids: list[int], at: int, verify: tuple) -> tuple[float, float]:
 
 def _search(items: Items, weight: np.ndarray, latent: np.ndarray):
     """struct(items, scores) of a text: what is verified in it."""
-    direct = {k for k, (_, w, _) in enumerate(items.items) if (weight[list(set(w))] > 0).sum() < LEAST_WEIGHTED}
-    asked = [k for k, i in enumerate(items.segment_of) if i not in direct]
-    queries = _unit(np.stack([latent[items.segments[k]].sum(axis=0) for k in asked])) if asked else np.zeros((0, latent.shape[1]), np.float32)
-    item_of, direct = items.segment_of[asked], sorted(direct)
+    direct = sorted(k for k, (_, w, _) in enumerate(items.items) if (weight[list(set(w))] > 0).sum() < LEAST_WEIGHTED)
+    scales = []
+    for size in (PASSAGE // 2, PASSAGE):
+        asked = [(k, w) for k, w in items.segments(size) if k not in set(direct)]
+        if asked:
+            scales.append((size, _unit(np.stack([latent[w].sum(axis=0) for _, w in asked])), np.array([k for k, _ in asked])))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         heavy = np.append(weight > 0, False)  # other words are -1
@@ -217,18 +227,19 @@ def _search(items: Items, weight: np.ndarray, latent: np.ndarray):
             yield pd.DataFrame({"items": hits, "scores": scores})
 
     def _verified_items(ids: np.ndarray, heavy: np.ndarray) -> dict[int, float]:
-        starts = np.arange(0, max(1, len(ids) - PASSAGE + STEP), STEP)
         at = np.flatnonzero(heavy[ids])
-        pairs = {(s, k) for s in starts.tolist() for k in direct}
-        if len(at) and len(queries):
+        pairs = {(s, k) for s in _starts(len(ids), PASSAGE) for k in direct}
+        if len(at) and scales:
             sums = np.zeros((len(at) + 1, latent.shape[1]), np.float32)
             np.cumsum(latent[ids[at]], axis=0, out=sums[1:])
-            lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + PASSAGE)
-            some = np.flatnonzero(hi > lo)
-            for part in range(0, len(some), 4096):
-                rows = some[part : part + 4096]
-                place, query = np.nonzero(_unit(sums[hi[rows]] - sums[lo[rows]]) @ queries.T >= COSINE)
-                pairs.update(zip(starts[rows[place]].tolist(), item_of[query].tolist(), strict=True))
+            for size, queries, item_of in scales:
+                starts = np.array(_starts(len(ids), size))
+                lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + size)
+                some = np.flatnonzero(hi > lo)
+                for part in range(0, len(some), 4096):
+                    rows = some[part : part + 4096]
+                    place, query = np.nonzero(_unit(sums[hi[rows]] - sums[lo[rows]]) @ queries.T >= COSINE)
+                    pairs.update(zip(starts[rows[place]].tolist(), item_of[query].tolist(), strict=True))
         found: dict[int, float] = {}
         words = ids.tolist() if pairs else []
         for p, k in sorted(pairs):
