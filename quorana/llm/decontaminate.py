@@ -9,7 +9,9 @@
 3. Retrieval. In a second pass, overlapping passages are projected and compared with the
    projected benchmark segments; cosines from COSINE on are candidates. Words that more than
    COMMON of the documents hold have no weight; an item with fewer than LEAST_WEIGHTED other
-   words is compared with all passages instead.
+   words is compared with all passages instead. Beside that, exactly: what holds SHARED of an
+   item holds all but so many of the item's rarest words close together (``Seeds``), so every
+   stretch that does is a candidate too, whatever its cosine. The latent search bounds nothing.
 4. Verification. A candidate counts if the longest common subsequence of item and passage
    covers SHARED of the item's words within a passage not much longer than the item, and, for
    what is not nearly verbatim, covers its answer too: the words after an answer marker, or
@@ -41,6 +43,8 @@ COMMON, LEAST_WEIGHTED = 0.05, 3
 COSINE, SHARED, VERBATIM, ANSWERED = 0.55, 0.7, 0.9, 0.6
 #: Bytes of benchmark text that are searched at a time.
 BLOCK_BYTES = 4 << 20
+#: An item is sought by so many words more than a match may lack, so each match holds at least as many of them.
+SEEDS = 8
 
 #: ASCII punctuation, which words are compared without.
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -188,13 +192,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
-def verified(ids: list[int], at: int, verify: tuple) -> tuple[float, float]:
-    """(share of the item, share of its answer) found around the passage that starts at ``at``; the best stretch as long as the item and a bit."""
+def _slack(n: int) -> int:
+    """How much longer than an item of n words a stretch that holds it may be."""
+    return max(4, n // 3)
+
+
+def verified(ids: list[int], at: int, verify: tuple, width: int = PASSAGE) -> tuple[float, float]:
+    """(share of the item, share of its answer) found around the ``width`` words that start at ``at``; the best stretch as long as the item and a bit."""
     masks, n, answer, m, different, least = verify
-    lo, hi = max(0, at - n), min(len(ids), at + PASSAGE + n)
+    lo, hi = max(0, at - n), min(len(ids), at + width + n)
     if len(different.intersection(ids[lo:hi])) < least or common_subsequence(masks, n, ids[lo:hi]) < SHARED * n:
         return 0.0, 0.0
-    span, best = n + max(4, n // 3), (0.0, 0.0)
+    span, best = n + _slack(n), (0.0, 0.0)
     for s in range(lo, max(lo + 1, hi - span + max(1, n // 8) + 1), max(1, n // 8)):
         part = ids[s : s + span]
         found = common_subsequence(masks, n, part) / n
@@ -203,9 +212,72 @@ def verified(ids: list[int], at: int, verify: tuple) -> tuple[float, float]:
     return best
 
 
-def _search(items: Items, weight: np.ndarray, latent: np.ndarray):
+class Seeds:
+    """The rarest words of each item, and which items a word is a seed of.
+
+    A match lacks at most (1 - SHARED) of the item's words, so of that many and SEEDS more
+    different words at least SEEDS stand within a stretch as long as the item and a bit.
+    """
+
+    def __init__(self, items: Items, df: np.ndarray):
+        self.words, self.need, self.span = [], [], []
+        for _, w, _ in items.items:
+            lost = int((1 - SHARED) * len(w) + 1e-9)
+            self.words.append(sorted(set(w), key=lambda x: (df[x], x))[: lost + SEEDS])
+            self.need.append(len(self.words[-1]) - lost)
+            self.span.append(len(w) + _slack(len(w)))
+        #: Items that repeat so few words that a match may lack all of them.
+        self.without = [k for k, need in enumerate(self.need) if need < 1]
+        self.words = [w if need >= 1 else [] for w, need in zip(self.words, self.need, strict=True)]
+        self.least = np.maximum(self.need, 1)
+        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        words = np.fromiter((x for w in self.words for x in w), np.int64, sizes.sum())
+        self.items = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(words, kind="stable")]
+        self.count = np.append(np.bincount(words, minlength=len(items.vocabulary)), 0)  # other words are -1
+        self.first = np.cumsum(self.count) - self.count
+
+    def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last): where a text holds enough of an item's seeds within its span; overlapping stretches are one."""
+        at = np.flatnonzero(self.count[ids])
+        if not len(at):
+            return
+        here = ids[at]
+        held = np.unique(here)
+        n = self.count[held]
+        ends = np.cumsum(n)
+        owners = self.items[np.arange(ends[-1]) + np.repeat(self.first[held] - ends + n, n)]
+        enough = np.bincount(owners, minlength=len(self.least)) >= self.least
+        for k in np.flatnonzero(enough).tolist():
+            mine = np.flatnonzero(np.isin(here, self.words[k]))
+            yield from self._close(k, at[mine].tolist(), here[mine].tolist())
+
+    def _close(self, k: int, places: list[int], words: list[int]) -> Iterator[tuple[int, int, int]]:
+        need, span = self.need[k], self.span[k]
+        inside: dict[int, int] = {}
+        lo, region = 0, None
+        for p, w in zip(places, words, strict=True):
+            inside[w] = inside.get(w, 0) + 1
+            while p - places[lo] >= span:
+                gone = words[lo]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                lo += 1
+            if len(inside) >= need:
+                if region is None or places[lo] > region[1]:
+                    if region is not None:
+                        yield k, *region
+                    region = (places[lo], p)
+                else:
+                    region = (region[0], p)
+        if region is not None:
+            yield k, *region
+
+
+def _search(items: Items, weight: np.ndarray, latent: np.ndarray, df: np.ndarray):
     """struct(items, scores) of a text: what is verified in it."""
-    direct = sorted(k for k, (_, w, _) in enumerate(items.items) if (weight[list(set(w))] > 0).sum() < LEAST_WEIGHTED)
+    seeds = Seeds(items, df)
+    direct = sorted({k for k, (_, w, _) in enumerate(items.items) if (weight[list(set(w))] > 0).sum() < LEAST_WEIGHTED}.union(seeds.without))
     scales = []
     for size in (PASSAGE // 2, PASSAGE):
         asked = [(k, w) for k, w in items.segments(size) if k not in set(direct)]
@@ -228,7 +300,10 @@ def _search(items: Items, weight: np.ndarray, latent: np.ndarray):
 
     def _verified_items(ids: np.ndarray, heavy: np.ndarray) -> dict[int, float]:
         at = np.flatnonzero(heavy[ids])
-        pairs = {(s, k) for s in _starts(len(ids), PASSAGE) for k in direct}
+        pairs = {(s, k, PASSAGE) for s in _starts(len(ids), PASSAGE) for k in direct}
+        for k, a, b in seeds.stretches(ids):
+            more = _slack(items.verify[k][1])
+            pairs.add((a - more, k, b - a + 2 * more + 1))
         if len(at) and scales:
             sums = np.zeros((len(at) + 1, latent.shape[1]), np.float32)
             np.cumsum(latent[ids[at]], axis=0, out=sums[1:])
@@ -239,12 +314,12 @@ def _search(items: Items, weight: np.ndarray, latent: np.ndarray):
                 for part in range(0, len(some), 4096):
                     rows = some[part : part + 4096]
                     place, query = np.nonzero(_unit(sums[hi[rows]] - sums[lo[rows]]) @ queries.T >= COSINE)
-                    pairs.update(zip(starts[rows[place]].tolist(), item_of[query].tolist(), strict=True))
+                    pairs.update((s, k, PASSAGE) for s, k in zip(starts[rows[place]].tolist(), item_of[query].tolist(), strict=True))
         found: dict[int, float] = {}
         words = ids.tolist() if pairs else []
-        for p, k in sorted(pairs):
+        for p, k, width in sorted(pairs):
             if found.get(k, 0.0) < VERBATIM:
-                share, answered = verified(words, p, items.verify[k])
+                share, answered = verified(words, p, items.verify[k], width)
                 if share >= VERBATIM or (share >= SHARED and answered >= ANSWERED):
                     found[k] = max(found.get(k, 0.0), share)
         return found
@@ -280,9 +355,10 @@ def _contaminated(df: DataFrame, benchmark: DataFrame, text: str, item_id: str,
             told = sorted((r.word, r.df, r.sums) for r in told.collect())
         n = len(items.vocabulary)
         sums = np.array([r[2] for r in told] or [[0] * SKETCH] * n)
-        weight = weights(np.array([r[1] for r in told] or [0] * n), documents)
+        df_of = np.array([r[1] for r in told] or [0] * n)
+        weight = weights(df_of, documents)
         weight[~sums.any(axis=1)] = 0.0  # common wherever it occurs: items of such words are compared directly
-        search = _search(items, weight, latent_words(weight, sums, items.signs()))
+        search = _search(items, weight, latent_words(weight, sums, items.signs()), df_of)
         found = found.withColumn("_r", search(body)).withColumn("_items", F.concat("_items", "_r.items")).withColumn("_scores", F.concat("_scores", "_r.scores")).drop("_r")
     return found
 

@@ -70,3 +70,23 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], docs.schema)
     assert decontaminate.contamination_report(none, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 1
+
+
+def test_items_beside_heavier_words_are_found(spark):
+    """An item between repeats of a rarer word: its cosine is low, but its words are all there."""
+    rng = random.Random(4)
+    usual, rare = [f"usual{k}" for k in range(2000)], [f"rare{k}" for k in range(3000)]
+    items = [" ".join(rng.choice(usual) for _ in range(rng.randint(14, 20))) for _ in range(20)]
+    bench = [(i, t) for i, t in enumerate(items)] + [(100 + k, " ".join(rare[k * 30 : k * 30 + 30])) for k in range(100)]
+    docs, want = [], set()
+    for d in range(300):
+        words = [rng.choice(usual) for _ in range(60)]
+        if d < 40:
+            at, plant = rng.randint(0, 60), items[d % 20].split()
+            if d >= 20:
+                plant = plant[: len(plant) // 2] + plant[len(plant) // 2 + len(plant) // 10 :]
+            words = words[:at] + [rare[d]] * 12 + plant + [rare[d]] * 12 + words[at:]
+            want.add((d, d % 20))
+        docs.append((d, " ".join(words)))
+    rows = decontaminate.contamination_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, int(i)) for r in rows for i in r.item_ids.split(",")} == want
