@@ -8,7 +8,7 @@
    all windows of the others are repeats. A leader with a single context is done. Where a
    leader has several, its contexts differ at an end, and only the earliest of each goes on.
 3. Suffix arrays. Those contexts, some per cent of the text, are dealt by leader. Each task
-   cuts its contexts into tokens, after some of the blanks by the byte before (and at the
+   cuts its contexts into tokens, after some of the blanks by the byte before, never a blank (and at the
    leader, which every window holds), ranks the tokens, and sorts the suffixes at token starts
    by linear grouping (``suffix_order``). Suffixes that share a prefix of bytes are neighbours there, so
    a window is its class among neighbours that agree on its bytes from its first token start
@@ -51,8 +51,10 @@ _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
-#: A token ends in a blank or line end after a byte that is a multiple of four, which is about every fourth word.
-_TOKEN = re.compile(rb"(?s).*?[" + b"".join(b"\\x%02x" % c for c in range(0, 256, 4)) + rb"][ \n]|.+")
+#: A token ends in a blank or line end after a byte that is a multiple of four, which is about every fourth word. That byte
+#: is no blank itself: two such pairs would overlap in a run of blanks, and which of them ends a token would depend on what
+#: stands before the window.
+_TOKEN = re.compile(rb"(?s).*?[" + b"".join(b"\\x%02x" % c for c in range(0, 256, 4) if c != 0x20) + rb"][ \n]|.+")
 
 
 def _powers(base: int, n: int) -> np.ndarray:

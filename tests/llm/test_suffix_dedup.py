@@ -68,6 +68,16 @@ def test_equals_brute_force(spark, seed):
     check(spark, list(zip(ids, texts)))
 
 
+def test_runs_of_blanks(spark):
+    """Passages that begin in runs of blanks and line ends, after texts of either parity."""
+    rng = random.Random(5)
+    gap = lambda: rng.choice([" ", "  ", "   ", "    ", " \n", "\n   ", "      "])
+    prose = lambda n: "".join(gap() + "".join(rng.choice("abcd:(") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    passages = [gap() * rng.randint(1, 4) + prose(25) for _ in range(8)]
+    texts = ["".join(rng.choice(["if x:", "def f: ", "word", "end.", "d", "", " "]) + prose(rng.randint(0, 6)) + " " * rng.randint(0, 5) + rng.choice(passages) for _ in range(rng.randint(1, 3))) for _ in range(80)]
+    check(spark, list(enumerate(texts)))
+
+
 def test_hot_keys_window_by_window(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
     texts = corpus(3)
