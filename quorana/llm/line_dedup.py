@@ -3,7 +3,9 @@
 A line is removed if an earlier line of the corpus equals it or is one edit away (one code
 point inserted, deleted or replaced). Earlier means: smaller id, then (for ids that repeat)
 smaller text hash, then smaller line number; lines are compared as they came in, whether or
-not they are kept themselves. Lines below MIN_CHARS code points are always kept.
+not they are kept themselves. Lines below MIN_CHARS code points have no edits: they are kept,
+or, with ``short_lines``, removed if they have a word (a letter or digit) and equal an earlier line.
+Lines below that are empty or hold signs alone, such as a closing bracket, are always kept.
 
 Two lines within one edit agree on the first or on the second half of the shorter one, so
 only lines that share such a half with another line can have a neighbour; four hashed keys
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quorana.workdir import Scratch
 
-#: Shorter lines are too common to mean anything; code points per block of the neighbourhood.
+#: One edit makes another line of a shorter one; code points per block of the neighbourhood.
 MIN_CHARS, BLOCK = 20, 64
 
 
@@ -34,10 +36,13 @@ def _document(df: DataFrame, id_column: str, text: str) -> list[Column]:
     return [F.col(id_column).isNull().alias("nameless"), F.col(id_column).alias("id"), F.xxhash64(text).alias("version")]
 
 
-def _lines(df: DataFrame, id_column: str, text: str, min_chars: int) -> DataFrame:
+def _lines(df: DataFrame, id_column: str, text: str, min_chars: int, short_lines: bool) -> DataFrame:
     """(nameless, id, version, no, line, lo, hi): the lines that count, with a 128-bit hash."""
     split = F.split(F.col(text), "\n", -1)
-    found = df.select(*_document(df, id_column, text), F.posexplode(split).alias("no", "line")).where(F.length("line") >= min_chars)
+    counts = F.length("line") >= min_chars
+    if short_lines:
+        counts = counts | F.col("line").rlike(r"[\p{L}\p{N}]")
+    found = df.select(*_document(df, id_column, text), F.posexplode(split).alias("no", "line")).where(counts)
     return found.withColumn("lo", F.xxhash64("line")).withColumn("hi", F.xxhash64(F.lit(1), "line"))
 
 
@@ -89,19 +94,20 @@ def neighbourhood(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return replaced, whole, shorter
 
 
-def removed_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
     """(nameless, id, version, no) of every line to remove."""
     scratch = Scratch(df.sparkSession, "lines")
     place = F.struct("nameless", "id", "version", "no")
-    lines = _lines(df, id_column, text, min_chars)
+    lines = _lines(df, id_column, text, min_chars, short_lines)
+    edited = lines.where(F.length("line") >= min_chars)
     distinct = lines.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     distinct = scratch.write(distinct, "distinct")
 
     # candidates: lines that share a half with another line; the 64-bit hash is enough to look for them
-    halves = lines.select("lo", F.explode(_half_keys(F.col("line"))).alias("key"))
+    halves = edited.select("lo", F.explode(_half_keys(F.col("line"))).alias("key"))
     shared = scratch.write(halves.groupBy("key").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a != b").select("key"), "shared")
     likely = scratch.write(halves.join(shared, "key", "left_semi").select("lo").distinct(), "likely")
-    chosen = lines.select("lo", "hi", "line").join(likely, "lo", "left_semi").distinct()
+    chosen = edited.select("lo", "hi", "line").join(likely, "lo", "left_semi").distinct()
     chosen = scratch.write(chosen.join(distinct.select("lo", "hi", "first"), ["lo", "hi"]), "chosen")
 
     replaced, whole, shorter = neighbourhood(chosen.select("lo", "hi", "first", "line"))
@@ -121,8 +127,8 @@ def removed_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     return lines.select("nameless", "id", "version", "no", "lo", "hi").join(told, ["lo", "hi"]).where(F.col("near") | (place > F.col("first"))).select("nameless", "id", "version", "no")
 
 
-def _per_document(df: DataFrame, id_column: str, text: str, min_chars: int) -> DataFrame:
-    gone = removed_lines(df, id_column, text, min_chars).distinct()
+def _per_document(df: DataFrame, id_column: str, text: str, min_chars: int, short_lines: bool) -> DataFrame:
+    gone = removed_lines(df, id_column, text, min_chars, short_lines).distinct()
     return gone.groupBy("nameless", "id", "version").agg(F.array_sort(F.collect_list("no")).alias("removed"))
 
 
@@ -133,17 +139,17 @@ def _matched(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone, on, "left").withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
 
 
-def line_report(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_report(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
     """One row per row of ``df``: id, n_lines, n_removed, and the numbers of the removed lines from 0, comma-joined."""
     rows = df.select(F.col(id_column).alias("_row_id"), F.xxhash64(text).alias("_row_version"), F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n", -1))).cast("long").alias("n_lines"))
-    got = _matched(rows, _per_document(df, id_column, text, min_chars))
+    got = _matched(rows, _per_document(df, id_column, text, min_chars, short_lines))
     return got.select(F.col("_row_id").alias(id_column), "n_lines", F.size("_removed").cast("long").alias("n_removed"), F.array_join(F.transform("_removed", lambda x: x.cast("string")), ",").alias("removed_lines"))
 
 
-def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
     """``df`` with the removed lines gone from its texts; other columns unchanged."""
     rows = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(df.columns)], F.col(id_column).alias("_row_id"), F.xxhash64(text).alias("_row_version"))
-    got = _matched(rows, _per_document(df, id_column, text, min_chars))
+    got = _matched(rows, _per_document(df, id_column, text, min_chars, short_lines))
     at = F.col(f"_c{df.columns.index(text)}")
     kept = F.array_join(F.filter(F.split(at, "\n", -1), lambda line, no: ~F.array_contains("_removed", no)), "\n")
     cut = F.when(F.size("_removed") > 0, kept).otherwise(at)

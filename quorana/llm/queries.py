@@ -45,7 +45,7 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return line_dedup.line_report(read(spark, sf, "documents"))
+    return line_dedup.line_report(read(spark, sf, "documents"), min_chars=6, short_lines=True)
 
 
 def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:

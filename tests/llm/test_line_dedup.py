@@ -69,3 +69,13 @@ def test_texts_nulls_and_repeats(spark):
     got = sorted((r.doc_id or 99, r.text) for r in line_dedup.dedup_lines(df, min_chars=MIN).collect() if r.text is not None)
     assert got == [(1, rows[0][1]), (1, rows[0][1]), (2, "fresh content now"), (99, "")]
     assert line_dedup.line_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_of_the_query(spark, monkeypatch):
+    """op9: short lines with a word go if they equal an earlier one; edits count from six code points on."""
+    from quorana.llm import queries
+
+    rows = [(1, "Les.\n}\n\n完了です。\nErheed. Tit\nLes."), (2, "Les.\n}\n\n完了です。\nErheed. Tot\nLet.\n--"), (3, "7\nLes\n--"), (4, "7\nLes"), (None, "Les.\nnew")]
+    monkeypatch.setattr(queries, "read", lambda *_: spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.removed_lines for r in queries.op9_lines(spark, "").collect()}
+    assert got == {1: "5", 2: "0,3,4", 3: "", 4: "0,1", None: "0"}
