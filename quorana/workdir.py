@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the cluster shares.
 
 Every table is Parquet below ``spark.checkpoint.dir``, so executors that are
-lost cost a task, never a lineage. Only where that setting is missing (local
-tests) a temporary folder is used.
+lost cost a task, never a lineage. Only where that setting is missing and the
+master is local (tests) a temporary folder is used.
 """
 
 from __future__ import annotations
@@ -11,16 +11,21 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
+    """The shared folder of this session, without a trailing slash.
+
+    On a cluster without the setting this raises: executors would not see a folder of the driver's.
+    """
     told = spark.conf.get("spark.checkpoint.dir", "")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="quorana-")
@@ -47,6 +52,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+        """As ``write``, with aggregates that the same job takes. A task that ran twice counts twice: zero is exact."""
+        seen = Observation()
+        table = self.write(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
+        return table, seen.get
+
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
         fs, p = _filesystem(self.spark, f"{self.root}/{name}")
