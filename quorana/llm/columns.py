@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run of anything but ASCII white space.
@@ -71,3 +71,11 @@ def _summed(pairs: Column) -> Column:
 def same(a: Column, b: Column) -> Column:
     """Equality under which nulls are equal."""
     return a.eqNullSafe(b)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -7,21 +7,24 @@ the permutation, which lowers the variance of the estimate against independent h
 once all components have values below rank r, no element has to go beyond rank r: dense sets
 stop after a round or two.
 
-Documents with equal sets form one class. The signatures of classes are cut into bands; the
-classes that share a band are compared with a few hubs of that bucket, not with each other,
-and the links that hold on the full sets are grouped. What the hubs left apart is compared
-on the full sets as well, in blocks that are bounded in size and give back only the links
-that join components. So no bucket is capped and no group is written out as all of its pairs.
+Documents with equal sets form one class. The signatures of classes are cut into bands. The
+classes that share a band are compared with two hubs of that bucket, not with each other, and
+the links that hold on the full sets are grouped. The classes of a bucket that this leaves
+apart are compared by the rarest of their shingles: sets that are similar enough share one of
+their rarest few, so all of their links are found, while documents that only have a frequent
+template in common never meet. No bucket is capped.
 
 Null and empty texts have no shingles, are linked with nothing and are kept. Rows that
-repeat an id are one document, linked by any of its texts; documents without an id are
-grouped, but cannot represent a group. Very long texts are read whole.
+repeat an id are one document, linked by any of its texts. Documents without an id are grouped
+under stand-ins (the last 2**56 longs, which ids must not use); they represent a group only if
+none of it has an id, and show no id then. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,22 +33,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorana.llm.batches import document_batches
-from quorana.llm.components import components
+from quorana.llm.columns import WORD, free_name
+from quorana.llm.components import Stars
 from quorana.workdir import Scratch
 
 SHINGLE, COMPONENTS = 5, 128
 #: The chance that a pair at the threshold shares no band stays below this.
 MISS = 1e-6
-#: Classes per block in the comparison of what the hubs left apart, and shingles per product there.
-BLOCK, COLUMNS = 256, 1 << 14
-#: Bands of the first round.
-FIRST_BANDS = 3
+#: Stand-ins for missing ids.
+STAND_INS = 1 << 56
 #: Places over which the rows of one class are dealt in the last join.
 SPREAD = 64
 #: Elements per vectorised round, and bytes hashed at a time.
 CHUNK, PIECE = 60_000, 1 << 16
-#: Orders under which a bucket's further hubs are its least members (ids are xor-ed with these).
-ORDERS = (0x2AAAAAAAAAAAAAAA, 0x1B3C5D7E9F2A4B6D)
 
 _LOWER = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 _U = np.uint64
@@ -207,160 +207,157 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
     return similar(a, b)
 
 
-def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of two bounded lists of sets, as products of incidence rows."""
-    words, at = np.unique(np.concatenate(left + right), return_inverse=True)
-    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
-    out = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, len(words), COLUMNS):
-        inside = (at >= lo) & (at < lo + COLUMNS)
-        rows = np.zeros((len(left) + len(right), min(COLUMNS, len(words) - lo)), np.float32)
-        rows[owner[inside], at[inside] - lo] = 1
-        out += rows[: len(left)] @ rows[len(left) :].T
-    return out
-
-
-def _linked(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links between the two sides of each block pair that join components; at most one less than it has components."""
-
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = [rows[rows["guest"] == g] for g in (False, True)]
-        out: list[tuple[int, int]] = []
-        if all(map(len, sides)):
-            sets = [[np.frombuffer(x, np.uint64) for x in side["set"]] for side in sides]
-            both = _shared(*sets)
-            sizes = [np.array([len(x) for x in own]) for own in sets]
-            similar = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
-            ids, roots = [side["id"].to_numpy() for side in sides], [side["root"].to_numpy() for side in sides]
-            parent: dict[int, int] = {}
+def _tokens(percent: int):
+    """Rows (own, id, root, n, prefix, token) from (own, id, root, set): the shingles, the set's size and its prefix.
 
-            def top(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
+    Two sets that are similar enough share a shingle of the first ``prefix`` of each, in any order that both follow.
+    """
 
-            for i, j in zip(*np.nonzero(similar & (roots[0][:, None] != roots[1][None, :])), strict=True):
-                p, q = top(int(roots[0][i])), top(int(roots[1][j]))
-                if p != q:
-                    parent[p] = q
-                    out.append(tuple(sorted((int(ids[0][i]), int(ids[1][j])))))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, node, root, held in zip(batch["own"], batch["id"], batch["root"], batch["set"], strict=True):
+                tokens = np.frombuffer(held, np.int64)
+                n = len(tokens)
+                yield pd.DataFrame({"own": own, "id": node, "root": root, "n": n, "prefix": n - -(-percent * n // 100) + 1, "token": tokens})
 
-    return blocks.groupBy("bucket", "k", "m").applyInPandas(links, "a long, b long").distinct()
+    return run
 
 
 class _Search:
     """The state of one run: classes, buckets, and the sets of those in question."""
 
     def __init__(self, df: DataFrame, percent: int, id_column: str, text: str):
-        self.percent, self.threshold = percent, percent / 100
+        self.percent = percent
         self.scratch = Scratch(df.sparkSession, "near")
-        self.docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-        got = self.docs.withColumn("s", sketches(F.col("text"), band_rows(self.threshold)))
+        self.docs = df.select(node(df[id_column], df[text]).alias("id"), df[text].alias("text"))
+        got = self.docs.withColumn("s", sketches(F.col("text"), band_rows(percent / 100)))
         self.sketched = self.scratch.write(got.select("id", F.col("s.n").alias("n"), F.col("s.set_key").alias("set_key"), F.col("s.bands").alias("bands")), "sketched")
-        one = self.sketched.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
-        self.classes = self.scratch.write(one.where(F.col("id").isNotNull()), "classes")
-        members = self.classes.select("id", F.posexplode("bands").alias("band", "bucket"))
-        hubs = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("h0"), F.max("id").alias("h1"), *[F.min(F.col("id").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"h{k + 2}") for k, o in enumerate(ORDERS)])
-        shared = self.scratch.write(hubs.where("size > 1"), "hubs")
-        self.members = self.scratch.write(members.join(shared, "bucket"), "members")
-        # (id, set) of the classes that share a bucket, made from their texts once
-        ids = self.scratch.write(self.members.select("id").distinct(), "candidates")
-        found = self.docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).join(ids, "id", "left_semi")
+        one = self.sketched.where(F.col("set_key").isNotNull()).groupBy("set_key")
+        self.classes = self.scratch.write(one.agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("bands").alias("bands")), "classes")
+        members = self.classes.select("id", F.explode("bands").alias("bucket"))
+        buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
+        joined = members.join(self.scratch.write(buckets, "buckets"), "bucket")
+        #: one row per class that shares a bucket: its buckets, and how many classes it meets there
+        self.members = self.scratch.write(joined.groupBy("id").agg(F.sum("size").alias("meets"), F.collect_list(F.struct("bucket", "size", "least")).alias("at")), "members")
+        found = self.docs.where(F.col("text").isNotNull()).join(self.members.select("id"), "id", "left_semi")
         self.sets = self.scratch.write(found.select("id", shingle_sets(F.col("text")).alias("set")), "sets")
 
     def verified(self, pairs: DataFrame, label: str) -> DataFrame:
         """Those of the pairs (written before) that hold on the full sets."""
-        sets = self.sets
         size = lambda c: F.octet_length(c).cast("long")
         both = (
-            pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+            pairs.join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
             .where(100 * F.least(size("x"), size("y")) >= self.percent * F.greatest(size("x"), size("y")))
         )
-        return self.scratch.write(both.where(_similar(F.col("x"), F.col("y"), self.percent)).select("a", "b").distinct(), f"links-{label}")
-
-    def hub_pairs(self, members: DataFrame, hubs: list[str]) -> DataFrame:
-        rows = members.select("id", F.explode(F.array(*hubs)).alias("hub")).where("id != hub")
-        return rows.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-
-    def new_pairs(self, pairs: DataFrame, roots: DataFrame | None, tested: list[DataFrame], label: str) -> DataFrame:
-        """Those of the pairs that join two components and were not tested before."""
-        if roots is not None:
-            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        return self.scratch.write(pairs, f"pairs-{label}")
-
-    def open_members(self, roots: DataFrame, least: int, label: str) -> DataFrame:
-        """The members of buckets of ``least`` or more classes that are not all in one component yet, each with its root."""
-        at = self.members.where(F.col("size") >= least).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        at = self.scratch.write(at, f"rooted-{label}")
-        apart = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-        return at.join(self.scratch.write(apart, f"apart-{label}"), "bucket")
+        return self.scratch.write(both.where(_similar(F.col("x"), F.col("y"), self.percent)).select("a", "b"), f"links-{label}")
 
-    def same_document(self) -> DataFrame:
-        """Links between the classes of an id that stands for several texts."""
-        named = self.sketched.where(F.col("id").isNotNull() & F.col("set_key").isNotNull()).select(F.col("id").alias("b"), "set_key")
-        twice = named.groupBy("b").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo != hi").select("b")
-        return named.join(twice, "b").join(self.classes.select("set_key", F.col("id").alias("a")), "set_key").where("a != b").select("a", "b").distinct()
+    def hub_links(self) -> DataFrame:
+        """Links of each class with two hubs of each of its buckets: the least, and of the others the one that meets most classes.
 
-    def links(self) -> DataFrame:
-        """Links that connect whatever is connected; not all links.
+        In a group of copies of one text, that text meets more of the others than they meet each other.
+        """
+        at = self.members.select("id", "meets", F.explode("at").alias("m")).select("id", "meets", "m.*")
+        central = at.where("id != least").groupBy("bucket").agg(F.max(F.struct("meets", F.bitwise_not("id").alias("mirrored"))).alias("top"))
+        central = self.scratch.write(central.select("bucket", F.bitwise_not("top.mirrored").alias("central")), "central")
+        rows = at.join(central, "bucket").select("id", F.explode(F.array("least", "central")).alias("hub")).where("id != hub")
+        pairs = self.scratch.write(rows.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs-hubs")
+        return self.verified(pairs, "hubs")
+
+    def open_classes(self, merged: DataFrame) -> tuple[DataFrame, int]:
+        """(id, root) of the classes in buckets that (node, root) does not join yet, and how many.
 
-        A first round over a few bands joins large groups at one pair per member and band; the
-        next ones look only at buckets that are still apart, and at pairs that would join two components.
+        A bucket of up to three classes is through: the hubs have met all of its pairs.
         """
-        found, roots, tested = None, None, []
-        for label, hubs, least in (("0", ["h0"], 2), ("1", ["h0", "h1"], 2), ("2", ["h2", "h3"], 4)):  # buckets of three or fewer are done after the second
-            rows = self.members.where(F.col("band") < FIRST_BANDS) if roots is None else self.open_members(roots, least, label)
-            pairs = self.new_pairs(self.hub_pairs(rows, hubs), roots, tested, label)
-            tested.append(pairs)
-            links = self.verified(pairs, label)
-            found = links if found is None else found.unionByName(links)
-            roots = self.scratch.write(components(found), f"roots-{label}")
-        return found.unionByName(self.block_links(self.open_members(roots, 4, "3"))).unionByName(self.same_document())
-
-    def block_links(self, rest: DataFrame) -> DataFrame:
-        """Links between what the hubs left apart: all members of a bucket against those outside its largest component.
-
-        Both are cut into blocks of bounded size, and each pair of blocks is compared on the full sets.
+        at = self.members.select("id", "at").join(merged.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.explode("at").alias("m"))
+        at = at.where("m.size > 3").select("id", "root", F.col("m.bucket").alias("bucket"))
+        apart = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
+        found, counted = self.scratch.counted(at.join(self.scratch.write(apart, "apart"), "bucket").select("id", "root").distinct(), "open", n=F.count(F.lit(1)))
+        return found, counted["n"]
+
+    def prefix_links(self, rest: DataFrame) -> DataFrame:
+        """All links between the roots of the open classes.
+
+        Shingles are ordered from the rarest on; sets that are similar enough share one of their
+        first few, so that what only has frequent shingles in common never meets. Of those that
+        meet, the sizes and the places of the shared shingle bound what the sets can have in common.
         """
-        rest = self.scratch.write(rest.select("bucket", "id", "root", "size"), "rest")
-        per = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        largest = self.scratch.write(per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top")), "largest")
-        at = rest.join(largest, "bucket").withColumn("outside", F.col("root") != F.col("top.root"))
-        blocks, guests = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int")
-        dealt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
-        to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        hosts = at.select("bucket", "id", "root", F.lit(False).alias("guest"), dealt(blocks, 1).alias("k"), to(guests).alias("m"))
-        visitors = at.where("outside").select("bucket", "id", "root", F.lit(True).alias("guest"), dealt(guests, 2).alias("m"), to(blocks).alias("k"))
-        spread = self.scratch.write(hosts.unionByName(visitors), "spread")
-        return self.scratch.write(_linked(spread.join(self.sets, "id"), self.percent), "links-3")
+        rows = self.sets.join(rest, "id").withColumn("own", F.xxhash64("id", "set")).select("own", "id", "root", "set")
+        tokens = self.scratch.write(rows.mapInPandas(_tokens(self.percent), "own long, id long, root long, n long, prefix long, token long"), "tokens")
+        often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        often = self.scratch.write(often.select("token", "often", (F.col("lo") != F.col("hi")).alias("meets")), "often")
+        ordered = tokens.join(often, "token").groupBy("own").agg(*[F.first(c).alias(c) for c in ("id", "root", "n", "prefix")], F.sort_array(F.collect_list(F.struct("often", "token", "meets"))).alias("all"))
+        first = ordered.select("id", "root", "n", F.posexplode(F.slice("all", F.lit(1), F.col("prefix").cast("int"))).alias("place", "t")).where("t.meets")
+        first = self.scratch.write(first.select("id", "root", "n", (F.col("n") - F.col("place")).alias("left"), F.col("t.token").alias("token")), "prefixes")
+        side = lambda s: first.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "left")])
+        pairs = side("a").join(side("b"), "token").where("id_a < id_b AND root_a != root_b")
+        pairs = pairs.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        pairs = pairs.where((100 + self.percent) * F.least("left_a", "left_b") >= self.percent * (F.col("n_a") + F.col("n_b")))
+        pairs = self.scratch.write(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs-rest")
+        return self.verified(pairs, "rest")
+
+    def same_document(self) -> DataFrame | None:
+        """Links between the classes of an id that stands for several texts; None if no id does."""
+        named = self.sketched.where(F.col("set_key").isNotNull()).select(F.col("id").alias("b"), "set_key")
+        twice = named.groupBy("b").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo != hi").select("b")
+        twice, counted = self.scratch.counted(twice, "twice", n=F.count(F.lit(1)))
+        if not counted["n"]:
+            return None
+        return named.join(twice, "b").join(self.classes.select("set_key", F.col("id").alias("a")), "set_key").select("a", "b")
+
+    def roots(self) -> DataFrame:
+        """(node, root) over enough links to connect whatever is connected."""
+        stars = Stars(self.hub_links())
+        edges = merged = None
+        if stars.pending:
+            stars.contract()
+            edges, merged = stars.edges.select(F.col("u").alias("a"), F.col("v").alias("b")), stars.merged
+        else:
+            merged = stars.edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        rest, n = self.open_classes(merged)
+        more = [x for x in (edges, self.prefix_links(rest) if n else None, self.same_document()) if x is not None]
+        if more[1:] or (more and edges is None):
+            stars = Stars(reduce(DataFrame.unionByName, more))
+        return stars.finish()
 
 
-def near_duplicates(df: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id (the smallest id reachable over links) and kept.
+def node(id_column: Column, text: Column) -> Column:
+    """The id of a row as a long; a row without one gets a stand-in from its text, above all ids that are in use."""
+    return F.coalesce(id_column.cast("long"), F.lit((1 << 63) - 1) - F.xxhash64(text).bitwiseAND(F.lit(STAND_INS - 1)))
 
-    Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets.
-    """
+
+def _named(x: Column) -> Column:
+    return F.when(x < (1 << 63) - STAND_INS, x)
+
+
+def _grouped(df: DataFrame, percent: int, id_column: str, text: str) -> DataFrame:
+    """(id, n, root) of every row, stand-ins included."""
     with document_batches(df.sparkSession):  # all of the Python steps run here
         search = _Search(df, percent, id_column, text)
-        links = search.scratch.write(search.links(), "links")
-    roots = search.scratch.write(components(links), "roots").withColumnRenamed("node", "class_id")
+        roots = search.roots().select(F.col("node").alias("class_id"), "root")
     # a row that is the only one of its class, in no link, is its own component
-    named = search.classes.select("set_key", "copies", F.col("id").alias("class_id")).join(roots, "class_id", "left").where("copies > 1 OR root IS NOT NULL")
-    named = search.scratch.write(named.select("set_key", F.coalesce("root", "class_id").alias("root")), "named")
+    of_class = search.classes.select("set_key", "copies", F.col("id").alias("class_id")).join(roots, "class_id", "left").where("copies > 1 OR root IS NOT NULL")
+    of_class = search.scratch.write(of_class.select("set_key", F.coalesce("root", "class_id").alias("root")), "roots")
     # a class may hold a third of all rows: its row is copied to as many places as its rows are dealt to; rows without a class are spread
     place = F.when(F.col("set_key").isNull(), F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
     rows = search.sketched.select("id", "n", "set_key", place.alias("place"))
-    held = rows.join(named.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))), ["set_key", "place"], "left")
-    root = F.coalesce("root", "id")
-    return held.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))
+    held = rows.join(of_class.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))), ["set_key", "place"], "left")
+    return held.select("id", "n", F.coalesce("root", "id").alias("root"))
+
+
+def near_duplicates(df: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``df``: id, n_shingles, component_id (the smallest id reachable over links) and kept.
+
+    Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets.
+    """
+    of = _grouped(df, percent, id_column, text)
+    return of.select(_named(F.col("id")).alias(id_column), F.col("n").alias("n_shingles"), _named(F.col("root")).alias("component_id"), (F.col("id") == F.col("root")).alias("kept"))
 
 
 def near_dedup(df: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest id of their group, columns unchanged."""
-    dropped = near_duplicates(df, percent, id_column, text).where(~F.col("kept") & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_dropped")).distinct()
+    """The documents with the smallest id of their group, columns unchanged; of a group without any id, one row."""
+    dropped = _grouped(df, percent, id_column, text).where("id != root").select("id").distinct()
     dropped = Scratch(df.sparkSession, "near-dropped").write(dropped, "ids")
-    return df.join(dropped, F.col(id_column).cast("long") == F.col("_dropped"), "left_anti")
+    own, gone = free_name(df, "node"), free_name(df, "gone")
+    held = df.withColumn(own, node(df[id_column], df[text])).join(dropped.withColumnRenamed("id", gone), F.col(own) == F.col(gone), "left_anti")
+    alike = F.col(id_column).isNull() & F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    return held.where(~alike).unionByName(held.where(alike).dropDuplicates([own])).drop(own)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from quorana.llm import near_dedup
+from quorana.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -53,18 +54,41 @@ def corpus(seed=1):
     return texts + ["", None, " \n ", "A b c", "a B c", "a b c d"]
 
 
-@pytest.mark.parametrize(("percent", "block"), [(85, 64), (80, 3)])
-def test_components_equal_brute_force(spark, monkeypatch, percent, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+@pytest.mark.parametrize("percent", [85, 80])
+def test_components_equal_brute_force(spark, percent):
     rows = list(zip(random.Random(percent).sample(range(10_000), len(corpus())), corpus()))
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, id string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, percent).collect()}
     assert got == brute(rows, percent)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_what_the_hubs_leave_apart_is_found_by_rare_shingles(spark, monkeypatch, percent):
+    monkeypatch.setattr(near_dedup._Search, "hub_links", lambda self: self.scratch.write(spark.createDataFrame([], "a long, b long"), "none"))
+    rows = list(enumerate(corpus(percent)))
+    monkeypatch.setattr(near_dedup._Search, "open_classes", lambda self, merged: (self.scratch.write(self.members.select("id", near_dedup.F.col("id").alias("root")), "all"), 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, percent).collect()}
+    assert got == brute(rows, percent)
+
+
+def test_documents_of_one_template_do_not_meet(spark):
+    template = [f"t{i}" for i in range(80)]
+    rng = random.Random(5)
+    rows = [(i, " ".join(template + [f"own{rng.random()}" for _ in range(40)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with near_dedup.document_batches(spark):
+        search = near_dedup._Search(df, 85, "doc_id", "text")
+        rest, n = search.open_classes(spark.createDataFrame([], "node long, root long"))
+        assert n > 100
+        assert search.prefix_links(rest).count() == 0
+        assert spark.read.parquet(f"{search.scratch.root}/pairs-rest").count() == 0
+    assert near_dedup.near_duplicates(df, 85).where("kept").count() == 300
+
+
 def test_filter_keeps_the_smallest_id_and_all_columns(spark):
     rows = [(i, t, "k") for i, t in enumerate(corpus(2))]
-    df = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id long, text string, root string, node int, gone int, _dropped int")
     kept = near_dedup.near_dedup(df, 80)
     want = brute([(i, t) for i, t, _ in rows], 80)
     assert kept.columns == df.columns
@@ -77,6 +101,11 @@ def test_repeated_and_missing_ids(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(4, 2, False), (2, 2, True), (2, 2, True), (9, 2, False), (None, 2, False), (None, None, True)], key=str)
     assert near_dedup.near_duplicates(spark.createDataFrame([], df.schema)).count() == 0
+    c = " ".join(f"c{i}" for i in range(30))
+    df = spark.createDataFrame([(None, c), (None, c), (None, c + " end"), (None, a), (4, a), (None, ""), (None, None), (None, " ")], "doc_id long, text string")
+    kept = near_dedup.near_dedup(df).collect()
+    assert len(kept) == 5 and sum(r.text in (c, c + " end") for r in kept) == 1 and (4, a) in kept and sum(not (r.text or "").strip() for r in kept) == 3
+    assert {r.component_id for r in near_dedup.near_duplicates(df).collect()} == {None, 4}
 
 
 def test_signatures_estimate_similarity_with_less_variance_than_independent_hashes():
@@ -93,6 +122,6 @@ def test_signatures_estimate_similarity_with_less_variance_than_independent_hash
 def test_components_of_a_long_chain(spark):
     ids = random.Random(1).sample(range(1000), 200)
     links = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])] + [(2000, 2001), (5, 5), (None, 3)], "a long, b long")
-    got = {r.node: r.root for r in near_dedup.components(links).collect()}
+    got = {r.node: r.root for r in components(links).collect()}
     assert all(got.get(i, i) == min(ids) for i in ids) and got[2001] == 2000 and len(got) == 200
     assert collections.Counter(got.values())[min(ids)] == 199
