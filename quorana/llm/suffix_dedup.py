@@ -13,10 +13,13 @@
    by linear grouping (``suffix_order``). Suffixes that share a prefix of bytes are neighbours there, so
    a window is its class among neighbours that agree on its bytes from its first token start
    on, together with the few bytes before. Of each class, all but the earliest are repeats.
+   A leader with more than HOT contexts is dealt to several tasks, each of which orders its
+   part; the earliest windows of the parts, narrow rows by then, meet by 128 bits of their hash.
 4. The documents take their repeats back and drop the bytes under them.
 
 Earlier means a smaller id, or the same row and a smaller start. Documents without an id come
-after all others. Rows that share an id, and rows without one, do not remove from each other.
+after all others. Rows that share an id, and rows without one, do not remove from each other;
+64 bits of the text's hash tell them apart, and equal ones are worked off once.
 Null texts are empty; matches never cross rows; overlaps count; strings are judged on the
 input. A text may be as long as memory holds; no group of equal strings is ever gathered
 beyond one row per distinct context and task.
@@ -42,7 +45,7 @@ SPAN = WINDOW - GRAM + 1  # grams per window
 PIECE, PLACE, ROWS = 1 << 16, 17, 1 << 16
 #: Bytes of text whose leader rows are combined at a time.
 BATCH = 4 << 20
-#: Contexts whose suffixes are ordered together; keys with more than HOT contexts are settled window by window.
+#: Contexts whose suffixes are ordered together, and those of one leader in one task.
 RUN, HOT = 1 << 14, 1 << 11
 #: The order of documents without an id.
 NAMELESS = (1 << 63) - 1
@@ -50,7 +53,7 @@ NAMELESS = (1 << 63) - 1
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
-_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTES, _OTHER = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 #: A token ends in a blank or line end after a byte that is a multiple of four, which is about every fourth word. That byte
 #: is no blank itself: two such pairs would overlap in a run of blanks, and which of them ends a token would depend on what
 #: stands before the window.
@@ -72,9 +75,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
+def _sums(data: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _UP[: len(data)], out=out[1:])
+    np.cumsum(values[data] * _UP[: len(data)], out=out[1:])
     return out
 
 
@@ -130,18 +133,19 @@ def _raw(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-#: ``mark`` is twice the version, plus 1 for what is settled; ``at`` holds first, count and place, which take 7 bits each.
-_LEADERS = "key long, context long, doc long, mark long, at long"
+#: ``at`` holds first, count and place, which take 7 bits each, and 1 for what is settled.
+_LEADERS = "key long, context long, doc long, version long, at long"
 
 
-def _packed(first: np.ndarray, count: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return first.astype(np.int64) << 16 | count.astype(np.int64) << 8 | place.astype(np.int64)
+def _packed(first: np.ndarray, count: np.ndarray, place: np.ndarray, settled: np.ndarray) -> np.ndarray:
+    return first.astype(np.int64) << 17 | count.astype(np.int64) << 9 | place.astype(np.int64) << 1 | settled.astype(np.int64)
 
 
 def _lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Leader rows of (doc, version, text). What a stretch of text repeats of an earlier row of its own is settled here."""
     for batch in batches:
         parts, size = [], 0
+        batch = batch[~batch.duplicated(["doc", "version"])]
         for row, (doc, version, text) in enumerate(zip(batch["doc"], batch["version"], batch["text"], strict=True)):
             data = np.frombuffer(_raw(text), np.uint8)
             if len(data) >= WINDOW:
@@ -167,24 +171,30 @@ def _combined(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
     # what is settled only passes through; it is dealt evenly
     key[settled] = _mixed(doc[settled].view(np.uint64) * _U(_ODD) + first[settled].astype(np.uint64)).view(np.int64)
     context[settled] = 0
-    return pd.DataFrame({"key": key, "context": context, "doc": doc, "mark": version.astype(np.int64) * 2 + settled, "at": _packed(first, count, place)})
+    return pd.DataFrame({"key": key, "context": context, "doc": doc, "version": version, "at": _packed(first, count, place, settled)})
 
 
-_FOUND = "doc long, version int, first long, count int, place int, key long, ask boolean"
+_FOUND = "doc long, version long, first long, count int, place int, key long, ask boolean"
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From leader rows sorted by all of their columns: repeats, and contexts to ask for.
+    """From leader rows sorted by all of their columns: repeats, and contexts to ask for. Equal rows count once.
 
     The first row of a leader is held until the next shows whether the leader has a second context.
     """
     held = None  # the first row of the current key, until it is asked for
-    last_key = last_context = head_doc = last_doc = last_version = last_first = None
+    last_key = last_context = head_doc = last_doc = last_version = last_first = last_row = None
     names = ["doc", "version", "first", "count", "place", "key"]
     for batch in batches:
-        at, mark = batch["at"].to_numpy(), batch["mark"].to_numpy()
-        batch = batch.assign(version=(mark >> 1).astype(np.int32), first=at >> 16, count=(at >> 8 & 255).astype(np.int32), place=(at & 255).astype(np.int32))
-        settled = (mark & 1).astype(bool)
+        if not len(batch):
+            continue
+        own = batch.to_numpy()
+        fresh = np.r_[last_row is None or bool((own[0] != last_row).any()), (own[1:] != own[:-1]).any(axis=1)]
+        last_row = own[-1].copy()
+        batch = batch[fresh]
+        at = batch["at"].to_numpy()
+        batch = batch.assign(first=at >> 17, count=(at >> 9 & 255).astype(np.int32), place=(at >> 1 & 255).astype(np.int32))
+        settled = (at & 1).astype(bool)
         out = [batch[settled][names].assign(ask=False)]
         rest = batch[~settled]
         if len(rest):
@@ -215,21 +225,6 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(out, ignore_index=True)
 
 
-def _single_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Leader rows of one window each, for the contexts of hot keys: key and context hash the window itself."""
-    for batch in batches:
-        parts = []
-        for row, (doc, version, first, count, place, raw) in enumerate(zip(*(batch[c] for c in ("doc", "version", "first", "count", "place", "bytes")), strict=True)):
-            sums = _sums(np.frombuffer(raw, np.uint8))
-            own = (sums[WINDOW:] - sums[:-WINDOW])[:count] * _DOWN[:count]
-            at = np.arange(count)
-            parts.append((_mixed(own), _mixed(own * _U(_ODD) + (place - at).astype(np.uint64)), first + at, np.full(count, doc), np.full(count, version)))
-        if parts:
-            key, context, first, doc, version = (np.concatenate(x) for x in zip(*parts, strict=True))
-            ones = np.ones(len(key), np.int64)
-            yield pd.DataFrame({"key": key.view(np.int64), "context": context.view(np.int64), "doc": doc, "mark": version.astype(np.int64) * 2, "at": _packed(first, ones, 0 * ones)})
-
-
 def repeated_windows(contexts: list[bytes], docs: np.ndarray, rows: np.ndarray, firsts: np.ndarray, counts: np.ndarray, places: np.ndarray) -> np.ndarray:
     """For contexts of any leaders, a flag per window (contexts in order, windows in order): it starts earlier elsewhere."""
     buffer = np.frombuffer(b"".join(contexts), np.uint8)
@@ -299,21 +294,21 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, rows: np.ndarray,
     return flags
 
 
-_INTERVALS = "doc long, version int, lo long, hi long"
+#: Repeats, or for leaders in parts also the windows that are the earliest of theirs, with the hash they meet by.
+_ORDERED = "doc long, version long, lo long, hi long, key long, context long, first boolean"
 
 
 def _order_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Intervals of repeated windows from rows (key, doc, version, first, count, place, bytes) sorted by key.
+    """Intervals of repeated windows from rows (key, part, parts, doc, version, first, count, place, bytes) sorted by key and part.
 
-    Equal windows have equal keys, so the rows are worked off in runs of whole keys of bounded size;
-    a single key larger than that is worked off as one run.
+    Equal windows of a part have equal keys, so the rows are worked off in runs of whole parts of bounded size.
     """
     held: list[pd.DataFrame] = []
     for batch in batches:
         held.append(batch)
         if sum(map(len, held)) >= RUN:
             rows = pd.concat(held, ignore_index=True)
-            tail = rows["key"] == rows["key"].iloc[-1]
+            tail = (rows["key"] == rows["key"].iloc[-1]) & (rows["part"] == rows["part"].iloc[-1])
             if not tail.all():
                 yield _ordered(rows[~tail])
                 held = [rows[tail]]
@@ -326,7 +321,7 @@ def _order_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
     docs, versions = rows["doc"].to_numpy(), rows["version"].to_numpy()
     firsts, counts, places = (rows[c].to_numpy().astype(np.int64) for c in ("first", "count", "place"))
-    row = docs.view(np.uint64) * _U(_ODD) + versions.astype(np.int64).view(np.uint64)
+    row = docs.view(np.uint64) * _U(_ODD) + versions.view(np.uint64)
     flags = repeated_windows(rows["bytes"].tolist(), docs, row, firsts, counts, places)
     owner = np.repeat(np.arange(len(rows)), counts)
     start = firsts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -334,7 +329,21 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
     cut = np.r_[True, (np.diff(on) != 1) | (owner[on][1:] != owner[on][:-1])] if len(on) else np.zeros(0, bool)
     a = on[cut]
     b = on[np.r_[cut[1:], True]] if len(on) else a
-    return pd.DataFrame({"doc": docs[owner[a]], "version": versions[owner[a]], "lo": start[a], "hi": start[b] + WINDOW})
+    out = [pd.DataFrame({"doc": docs[owner[a]], "version": versions[owner[a]], "lo": start[a], "hi": start[b] + WINDOW, "key": 0, "context": 0, "first": False})]
+    split = np.flatnonzero(rows["parts"].to_numpy() > 1)
+    if len(split):
+        hashes = [(_window_hashes(raw, n, _BYTES), _window_hashes(raw, n, _OTHER)) for raw, n in zip(rows["bytes"].iloc[split], counts[split].tolist(), strict=True)]
+        mine = np.isin(owner, split)
+        key, context = (np.concatenate(x) for x in zip(*hashes, strict=True))
+        go = ~flags[mine]
+        w = np.flatnonzero(mine)[go]
+        out.append(pd.DataFrame({"doc": docs[owner[w]], "version": versions[owner[w]], "lo": start[w], "hi": start[w] + WINDOW, "key": key[go], "context": context[go], "first": True}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _window_hashes(raw: bytes, n: int, values: np.ndarray) -> np.ndarray:
+    sums = _sums(np.frombuffer(raw, np.uint8), values)
+    return _mixed((sums[WINDOW:] - sums[:-WINDOW])[:n] * _DOWN[:n]).view(np.int64)
 
 
 def _merged(lo: np.ndarray | None, hi: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -358,31 +367,33 @@ def _kept(text: str | None, lo: np.ndarray | None, hi: np.ndarray | None) -> tup
 def repeated_spans(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, version, lo, hi): the repeated byte ranges of each row that has any, as two lists; ranges may overlap.
 
-    ``doc`` is the id, NAMELESS for null; ``version`` tells rows of one id apart.
+    ``doc`` is the id, NAMELESS for null; ``version`` (64 bits of the text's hash) tells rows of one id apart.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = keyed(df, id_column, text)
-    columns = ("key", "context", "doc", "mark", "at")
+    columns = ("key", "context", "doc", "version", "at")
     sorted_rows = docs.mapInPandas(_lead, _LEADERS).repartition(parts, "key").sortWithinPartitions(*columns)
     found = scratch.write(sorted_rows.mapInPandas(_settle, _FOUND), "found")
     scratch.settle()
 
     asked = found.where("ask").drop("ask")
-    crowded = scratch.write(asked.groupBy("key").agg(F.count("*").alias("contexts")).where(F.col("contexts") > HOT).select("key", F.lit(True).alias("hot")), "crowded")
-    asked = asked.join(crowded, "key", "left").withColumnRenamed("doc", "d").withColumnRenamed("version", "v")
+    sizes = scratch.write(asked.groupBy("key").agg(F.ceil(F.count("*") / HOT).alias("parts")).where("parts > 1"), "sizes")
+    asked = asked.join(sizes, "key", "left").withColumnRenamed("doc", "d").withColumnRenamed("version", "v").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     piece = F.substring(F.col("text").cast("binary"), F.col("first").cast("int") + 1, F.col("count") + WINDOW - 1)
-    wanted = docs.join(asked, (F.col("doc") == F.col("d")) & (F.col("version") == F.col("v"))).select("key", "hot", "doc", "version", "first", "count", "place", piece.alias("bytes")).distinct()
-    wanted = scratch.write(wanted, "contexts")
+    wanted = docs.join(asked, (F.col("doc") == F.col("d")) & (F.col("version") == F.col("v"))).select("key", "parts", "doc", "version", "first", "count", "place", piece.alias("bytes")).distinct()
+    wanted = scratch.write(wanted, "contexts").withColumn("part", F.pmod(F.xxhash64("bytes"), F.col("parts")))
     scratch.settle()
 
-    ordered = wanted.where("hot IS NULL").drop("hot").repartition(parts, "key").sortWithinPartitions("key", "doc", "first").mapInPandas(_order_suffixes, _INTERVALS)
-    single = wanted.where("hot").drop("hot").mapInPandas(_single_windows, _LEADERS).repartition(parts, "key", "context").sortWithinPartitions(*columns)
-    single = single.mapInPandas(_settle, _FOUND).where(~F.col("ask"))
-    ordered = scratch.write(ordered.unionByName(_intervals(single)), "ordered")
+    ordered = wanted.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc", "first").mapInPandas(_order_suffixes, _ORDERED)
+    ordered = scratch.write(ordered, "ordered")
+    one = F.shiftleft(F.col("lo"), 17).bitwiseOR(F.lit(1 << 9))  # a window is a leader's only one, at place 0
+    firsts = ordered.where("first").select("key", "context", "doc", "version", one.alias("at"))
+    met = firsts.repartition(parts, "key", "context").sortWithinPartitions(*columns).mapInPandas(_settle, _FOUND).where(~F.col("ask"))
     scratch.settle()
-    return _intervals(found.where(~F.col("ask"))).unionByName(ordered).groupBy("doc", "version").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    runs = _intervals(found.where(~F.col("ask"))).unionByName(ordered.where(~F.col("first")).select("doc", "version", "lo", "hi")).unionByName(_intervals(met))
+    return runs.groupBy("doc", "version").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
 
 def _intervals(found: DataFrame) -> DataFrame:
@@ -392,7 +403,7 @@ def _intervals(found: DataFrame) -> DataFrame:
 def keyed(df: DataFrame, id_column: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc, version, text, ...) of every row."""
     body = F.col(text)
-    return df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NAMELESS)).alias("doc"), F.xxhash64(body).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("version"), body.alias("text"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)])
+    return df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NAMELESS)).alias("doc"), F.xxhash64(body).alias("version"), body.alias("text"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)])
 
 
 def substring_report(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from quorana.llm import suffix_dedup
 from quorana.llm.suffix_order import suffix_array
@@ -78,12 +79,33 @@ def test_runs_of_blanks(spark):
     check(spark, list(enumerate(texts)))
 
 
-def test_hot_keys_window_by_window(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+@pytest.mark.parametrize("hot", [2, 7])
+def test_leaders_dealt_to_several_tasks(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     texts = corpus(3)
     check(spark, list(enumerate(texts)))
 
 
+def test_nameless_rows_whose_hashes_agree_in_31_bits(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    seen, pair = {}, None
+    while pair is None:
+        own = "".join(rng.choice("ijklmnop ") for _ in range(150))
+        for t in (passage + own, own + own[::-1]):
+            other = seen.setdefault(xxhash.xxh64_intdigest(t.encode(), 42) & 0x7FFFFFFF, t)
+            if other != t and (passage in other) != (passage in t):
+                pair = (other, t)
+    check(spark, [(1, passage), *((None, t) for t in pair)])
+
+
+def test_many_equal_nameless_rows(spark):
+    p = "one passage that stands twice in a text without an id, and in ever so many copies of that text, each judged alone " * 2
+    check(spark, [(None, p + "and " + p)] * 3000 + [(None, "z" + p), (7, "unrelated " + p[:50])])
+    found = suffix_dedup.repeated_spans(spark.createDataFrame([(None, p + "and " + p)] * 3000, "doc_id long, text string")).collect()
+    assert len(found) == 1 and len(found[0].lo) < 20
+
+
 def test_repeated_and_missing_ids(spark):
     p = "the same passage of text, long enough to count as a repeat when it is found in two places of the corpus " * 2
     check(spark, [(5, p + "a"), (5, "b" + p), (None, "c" + p), (None, p), (9, p), (2, "unrelated")])
