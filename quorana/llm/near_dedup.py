@@ -239,7 +239,8 @@ class _Search:
         joined = members.join(self.scratch.write(buckets, "buckets"), "bucket")
         #: one row per class that shares a bucket: its buckets, and how many classes it meets there
         self.members = self.scratch.write(joined.groupBy("id").agg(F.sum("size").alias("meets"), F.collect_list(F.struct("bucket", "size", "least")).alias("at")), "members")
-        found = self.docs.where(F.col("text").isNotNull()).join(self.members.select("id"), "id", "left_semi")
+        asked = self.scratch.write(self.members.select("id"), "asked")  # its own narrow table, which Spark may find small enough to broadcast
+        found = self.docs.where(F.col("text").isNotNull()).join(asked, "id", "left_semi")
         self.sets = self.scratch.write(found.select("id", shingle_sets(F.col("text")).alias("set")), "sets")
 
     def verified(self, pairs: DataFrame, label: str) -> DataFrame:
