@@ -1,49 +1,53 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Statistics. One pass over all documents counts, for the words of the benchmark, document
-   frequencies and a sketch of the passages' term matrix: with A the TF-IDF rows of all
-   passages and R a random sign matrix, the pass gathers the integer sums behind A'A R.
-2. Randomised SVD. From that sketch, a small dense problem on the driver gives the leading
-   right singular vectors of A (the Nystroem form of the randomised range finder, which has
-   a power step built in). Its size is the benchmark's vocabulary, whatever the corpus.
-3. Retrieval. In a second pass, overlapping passages are projected and compared with the
-   projected benchmark segments; cosines from COSINE on are candidates. Words that more than
-   COMMON of the documents hold have no weight; an item with fewer than LEAST_WEIGHTED other
-   words is compared with all passages instead. Beside that, exactly: what holds SHARED of an
-   item holds all but so many of the item's rarest words close together (``Seeds``), so every
-   stretch that does is a candidate too, whatever its cosine. The latent search bounds nothing.
+1. Words. One pass over all documents writes, next to their columns, their words as numbers of
+   the benchmark's vocabulary; everything after it reads those. A second, over the numbers,
+   counts document frequencies. Words that more than COMMON of the documents hold have no weight.
+2. Randomised SVD. A third pass over the numbers sketches the passages' term matrix: with A the
+   TF-IDF rows of all passages and R a random sign matrix, it gathers the integer sums behind
+   A'A R. From that, a small dense problem on the driver gives the leading right singular
+   vectors of A (the Nystroem form of the randomised range finder, which has a power step
+   built in). Its size is the benchmark's vocabulary, whatever the corpus.
+3. Retrieval. Overlapping passages are projected and compared with the projected benchmark
+   segments; cosines from COSINE on are candidates. Beside that, exactly: what holds SHARED of
+   an item holds enough of the item's rarest words close together (``Seeds``), so every stretch
+   that does is a candidate too, whatever its cosine and however common the item's words are.
+   The latent search bounds nothing.
 4. Verification. A candidate counts if the longest common subsequence of item and passage
    covers SHARED of the item's words within a passage not much longer than the item, and, for
    what is not nearly verbatim, covers its answer too: the words after an answer marker, or
    the last sentence.
 
-Words are taken in lower case and without ASCII punctuation. The benchmark is taken in blocks of bounded size,
-and each block is searched in all documents. Null and empty texts, and items without words,
-match nothing. Items that repeat an id are searched each; a document's items are listed once.
-Ids may be null or repeat: every row is judged by its own text.
+Words are taken in lower case and without ASCII punctuation. The benchmark is taken in blocks of
+bounded size, and each block is searched in all documents. Null and empty texts, and items
+without words, match nothing. Items without an id are searched like all others and listed as
+"null"; items that repeat an id are searched each. A document's items are listed once. Document
+ids may be null or repeat: every row is judged by its own text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorana.llm.batches import document_batches
+from quorana.workdir import Scratch
 
 #: Words per passage, and sketch columns, which bound the rank. Items of SHORT words or fewer are
 #: sought in passages of half the size, which other words dilute less. Passages start every half of their size.
 PASSAGE, SKETCH, SHORT = 32, 64, 24
-COMMON, LEAST_WEIGHTED = 0.05, 3
+COMMON = 0.05
 COSINE, SHARED, VERBATIM, ANSWERED = 0.55, 0.7, 0.9, 0.6
-#: Bytes of benchmark text that are searched at a time.
-BLOCK_BYTES = 4 << 20
-#: An item is sought by so many words more than a match may lack, so each match holds at least as many of them.
+#: Bytes of benchmark text that are searched at a time. A worker holds some 600 bytes for each different word of them.
+BLOCK_BYTES = 64 << 20
+#: An item is sought by words that stand for so many more of its places than a match may lack, so each match holds as many of them.
 SEEDS = 8
 
 #: ASCII punctuation, which words are compared without.
@@ -111,8 +115,36 @@ class Items:
 
 def _ids(vocabulary: dict[bytes, int], text: str | None) -> np.ndarray:
     """The vocabulary ids of a text's words, -1 for other words."""
-    words, known = plain_words(text), vocabulary.get
-    return np.fromiter([known(w, -1) for w in words], np.int32, len(words))
+    words = plain_words(text)
+    return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
+
+
+def numbered(items: Items, text: Column) -> Column:
+    """The ids of a text's words as bytes."""
+
+    @F.pandas_udf("binary")
+    def ids(texts: pd.Series) -> pd.Series:
+        return pd.Series([_ids(items.vocabulary, t).tobytes() for t in texts], dtype=object)
+
+    return ids(text)
+
+
+def _held(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int32)
+
+
+def _frequencies(n: int):
+    """Rows (word, df): per task, how many documents hold a word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(n + 1, np.int64)
+        for batch in batches:
+            for raw in batch["_ids"]:
+                df[np.unique(_held(raw))] += 1  # other words are -1, the last place
+        held = np.flatnonzero(df[:n])
+        yield pd.DataFrame({"word": held, "df": df[held]})
+
+    return run
 
 
 def _starts(n: int, size: int) -> range:
@@ -120,31 +152,24 @@ def _starts(n: int, size: int) -> range:
     return range(0, max(1, n - size // 2), size // 2)
 
 
-def _statistics(items: Items):
-    """Rows (word, df, sums): per task, how many documents hold a word, and its rows of the sketch."""
+def _statistics(signs: np.ndarray, weighty: np.ndarray):
+    """Rows (word, sums): per task, the rows of the sketch of the words that have weight."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup, signs, n = items.vocabulary, items.signs(), len(items.vocabulary)
-        df, sums = np.zeros(n, np.int64), np.zeros((n, SKETCH), np.int64)
+        sums, counts = np.zeros((len(signs), SKETCH), np.int64), np.append(weighty, False)
         for batch in batches:
-            held, passage, base, own = [], [], 0, np.zeros(n, np.int64)
-            for text in batch["text"]:
-                ids = _ids(lookup, text)
-                at = np.flatnonzero(ids >= 0)
-                known = ids[at]
-                own[np.unique(known)] += 1
-                held.append(known)
+            held, passage, base = [], [], 0
+            for raw in batch["_ids"]:
+                ids = _held(raw)
+                at = np.flatnonzero(counts[ids])
+                held.append(ids[at])
                 passage.append(at // PASSAGE + base)
                 base += len(ids) // PASSAGE + 1
-            df += own
             words, owner = np.concatenate(held), np.concatenate(passage)
-            # what is common will have no weight; the margin is for batches that are not like the corpus
-            expected = COMMON * len(batch)
-            weighty = (own <= expected + 4 * expected**0.5 + 2)[words]
-            words, owner = words[weighty], owner[weighty]
             for lo in range(0, len(words), 1 << 18):
                 _sketch(words[lo : lo + (1 << 18)], owner[lo : lo + (1 << 18)], signs, sums)
-        yield pd.DataFrame({"word": np.arange(n), "df": df, "sums": list(sums)})
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pd.DataFrame({"word": some, "sums": pd.Series(list(sums[some]), dtype=object)})
 
     return run
 
@@ -215,26 +240,37 @@ def verified(ids: list[int], at: int, verify: tuple, width: int = PASSAGE) -> tu
 class Seeds:
     """The rarest words of each item, and which items a word is a seed of.
 
-    A match lacks at most (1 - SHARED) of the item's words, so of that many and SEEDS more
-    different words at least SEEDS stand within a stretch as long as the item and a bit.
+    A match lacks at most (1 - SHARED) of the item's places. So of words that stand for that many
+    places and SEEDS more, it holds some that stand for at least SEEDS, within a stretch as
+    long as the item and a bit. An item with too few places for that is sought by all of its
+    words, of which a match holds SHARED.
     """
 
     def __init__(self, items: Items, df: np.ndarray):
-        self.words, self.need, self.span = [], [], []
+        self.words: list[dict[int, int]] = []  # seed -> places of the item that it stands for
+        self.need, self.span = [], []
         for _, w, _ in items.items:
-            lost = int((1 - SHARED) * len(w) + 1e-9)
-            self.words.append(sorted(set(w), key=lambda x: (df[x], x))[: lost + SEEDS])
-            self.need.append(len(self.words[-1]) - lost)
+            lost, places = int((1 - SHARED) * len(w) + 1e-9), dict.fromkeys(w, 0)
+            for x in w:
+                places[x] += 1
+            own, total = {}, 0
+            for x in sorted(places, key=lambda x: (df[x], x)):
+                if total >= lost + SEEDS:
+                    break
+                own[x] = places[x]
+                total += places[x]
+            self.words.append(own)
+            self.need.append(total - lost)
             self.span.append(len(w) + _slack(len(w)))
-        #: Items that repeat so few words that a match may lack all of them.
-        self.without = [k for k, need in enumerate(self.need) if need < 1]
-        self.words = [w if need >= 1 else [] for w, need in zip(self.words, self.need, strict=True)]
-        self.least = np.maximum(self.need, 1)
         sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
         words = np.fromiter((x for w in self.words for x in w), np.int64, sizes.sum())
-        self.items = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(words, kind="stable")]
+        by = np.argsort(words, kind="stable")
+        self.items = np.repeat(np.arange(len(sizes)), sizes)[by]
+        self.stands = np.fromiter((n for w in self.words for n in w.values()), np.int64, sizes.sum())[by]
         self.count = np.append(np.bincount(words, minlength=len(items.vocabulary)), 0)  # other words are -1
         self.first = np.cumsum(self.count) - self.count
+        self.seeds = [np.fromiter(w, np.int64, len(w)) for w in self.words]
+        self.least = np.array(self.need)
 
     def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first, last): where a text holds enough of an item's seeds within its span; overlapping stretches are one."""
@@ -245,25 +281,28 @@ class Seeds:
         held = np.unique(here)
         n = self.count[held]
         ends = np.cumsum(n)
-        owners = self.items[np.arange(ends[-1]) + np.repeat(self.first[held] - ends + n, n)]
-        enough = np.bincount(owners, minlength=len(self.least)) >= self.least
-        for k in np.flatnonzero(enough).tolist():
-            mine = np.flatnonzero(np.isin(here, self.words[k]))
+        entries = np.arange(ends[-1]) + np.repeat(self.first[held] - ends + n, n)
+        owners, inverse = np.unique(self.items[entries], return_inverse=True)
+        enough = np.bincount(inverse, self.stands[entries]) >= self.least[owners]
+        for k in owners[enough].tolist():
+            mine = np.flatnonzero(np.isin(here, self.seeds[k]))
             yield from self._close(k, at[mine].tolist(), here[mine].tolist())
 
     def _close(self, k: int, places: list[int], words: list[int]) -> Iterator[tuple[int, int, int]]:
-        need, span = self.need[k], self.span[k]
+        need, span, stands = self.need[k], self.span[k], self.words[k]
         inside: dict[int, int] = {}
-        lo, region = 0, None
+        lo, held, region = 0, 0, None
         for p, w in zip(places, words, strict=True):
+            if not inside.get(w):
+                held += stands[w]
             inside[w] = inside.get(w, 0) + 1
             while p - places[lo] >= span:
                 gone = words[lo]
                 inside[gone] -= 1
                 if not inside[gone]:
-                    del inside[gone]
+                    held -= stands[gone]
                 lo += 1
-            if len(inside) >= need:
+            if held >= need:
                 if region is None or places[lo] > region[1]:
                     if region is not None:
                         yield k, *region
@@ -275,32 +314,32 @@ class Seeds:
 
 
 def _search(items: Items, weight: np.ndarray, latent: np.ndarray, df: np.ndarray):
-    """struct(items, scores) of a text: what is verified in it."""
+    """struct(items, scores) of a text's words: what is verified in it."""
     seeds = Seeds(items, df)
-    direct = sorted({k for k, (_, w, _) in enumerate(items.items) if (weight[list(set(w))] > 0).sum() < LEAST_WEIGHTED}.union(seeds.without))
     scales = []
     for size in (PASSAGE // 2, PASSAGE):
-        asked = [(k, w) for k, w in items.segments(size) if k not in set(direct)]
+        asked = [(k, w) for k, w in items.segments(size) if (weight[w] > 0).any()]
         if asked:
             scales.append((size, _unit(np.stack([latent[w].sum(axis=0) for _, w in asked])), np.array([k for k, _ in asked])))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         heavy = np.append(weight > 0, False)  # other words are -1
-        for texts in batches:
+        for held in batches:
             hits, scores = [], []
-            for text in texts:
-                ids = _ids(items.vocabulary, text)
+            for raw in held:
+                ids = _held(raw)
                 named: dict = {}
                 for k, share in (_verified_items(ids, heavy) if len(ids) else {}).items():
                     i = items.items[k][0]
                     named[i] = max(share, named.get(i, 0.0))
-                hits.append(sorted(named))
-                scores.append([named[i] for i in sorted(named)])
-            yield pd.DataFrame({"items": hits, "scores": scores})
+                order = sorted(named, key=lambda i: (i is None, i or 0))
+                hits.append(order)
+                scores.append([named[i] for i in order])
+            yield pd.DataFrame({"items": pd.Series(hits, dtype=object), "scores": scores})
 
     def _verified_items(ids: np.ndarray, heavy: np.ndarray) -> dict[int, float]:
         at = np.flatnonzero(heavy[ids])
-        pairs = {(s, k, PASSAGE) for s in _starts(len(ids), PASSAGE) for k in direct}
+        pairs: set[tuple[int, int, int]] = set()
         for k, a, b in seeds.stretches(ids):
             more = _slack(items.verify[k][1])
             pairs.add((a - more, k, b - a + 2 * more + 1))
@@ -334,40 +373,45 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
     for k in range(n):
-        yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect() if r.i is not None]
+        yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()]
 
 
 def _contaminated(df: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
-    """``_c0``... for the columns of ``df``, ``_items`` (ids of the items found) and ``_scores`` (the share of each)."""
+    """``_c0``... for the columns of ``df``, ``_items`` (ids of the items found) and ``_scores`` (the share of each).
+
+    Per block of the benchmark the rows are written once, with their words as numbers.
+    """
+    scratch = Scratch(df.sparkSession, "decontaminate")
     body = F.col(f"_c{df.columns.index(text)}")
     found = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(df.columns)])
     found = found.withColumn("_items", F.array().cast("array<long>")).withColumn("_scores", F.array().cast("array<double>"))
-    documents = None
-    for rows in _blocks(benchmark, item_id, item_text):
+    for k, rows in enumerate(_blocks(benchmark, item_id, item_text)):
         items = Items(rows)
         if not items.items:
             continue
-        documents = df.count() if documents is None else documents
-        told = df.select(F.col(text).alias("text")).mapInPandas(_statistics(items), "word long, df long, sums array<long>")
-        told = told.groupBy("word").agg(F.sum("df").alias("df"), F.array(*[F.sum(F.col("sums")[c]) for c in range(SKETCH)]).alias("sums"))
         with document_batches(df.sparkSession):
-            # as many rows as the block has words
-            told = sorted((r.word, r.df, r.sums) for r in told.collect())
-        n = len(items.vocabulary)
-        sums = np.array([r[2] for r in told] or [[0] * SKETCH] * n)
-        df_of = np.array([r[1] for r in told] or [0] * n)
-        weight = weights(df_of, documents)
-        weight[~sums.any(axis=1)] = 0.0  # common wherever it occurs: items of such words are compared directly
+            found = scratch.write(found.withColumn("_ids", numbered(items, body)), f"block{k}")
+            n, ids = len(items.vocabulary), found.select("_ids")
+            # to the driver come as many rows as the block has words
+            frequencies = ids.mapInPandas(_frequencies(n), "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toPandas()
+            df_of = np.zeros(n, np.int64)
+            df_of[frequencies["word"]] = frequencies["df"]
+            weight = weights(df_of, ids.count())
+            told = ids.mapInPandas(_statistics(items.signs(), weight > 0), "word long, sums array<long>")
+            told = told.groupBy("word").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(SKETCH)]).alias("sums")).toPandas()
+        sums = np.zeros((n, SKETCH), np.int64)
+        if len(told):
+            sums[told["word"]] = np.stack(told["sums"])
         search = _search(items, weight, latent_words(weight, sums, items.signs()), df_of)
-        found = found.withColumn("_r", search(body)).withColumn("_items", F.concat("_items", "_r.items")).withColumn("_scores", F.concat("_scores", "_r.scores")).drop("_r")
+        found = found.withColumn("_r", search(F.col("_ids"))).withColumn("_items", F.concat("_items", "_r.items")).withColumn("_scores", F.concat("_scores", "_r.scores")).drop("_r", "_ids")
     return found
 
 
 def contamination_report(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per contaminated document: id, n_items, item_ids (ascending, comma-joined) and the best share found."""
+    """One row per contaminated document: id, n_items, item_ids (ascending, comma-joined, "null" last) and the best share found."""
     got = _contaminated(df.select(id_column, text), benchmark, text, item_id, item_text).where(F.size("_items") > 0)
     ids = F.array_sort(F.array_distinct("_items"))
-    return got.select(F.col("_c0").alias(id_column), F.size(ids).cast("long").alias("n_items"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("item_ids"), F.array_max("_scores").alias("score"))
+    return got.select(F.col("_c0").alias(id_column), F.size(ids).cast("long").alias("n_items"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",", "null").alias("item_ids"), F.array_max("_scores").alias("score"))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
