@@ -40,7 +40,10 @@ def test_measures_equal_brute_force(docs):
             b = brute(CASES[r.doc_id])
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == b
             assert r.base_failed == (b[0] < 10 or 100 * b[4] > 20 * b[0])
-            assert not (r.base_failed and r.kept)
+            lines = [x for x in (CASES[r.doc_id] or "").split("\n") if WORD.search(x)]
+            shouted = sum(bool(re.search(r"[!?]{2,}$", w)) for w in WORD.findall(CASES[r.doc_id] or ""))
+            n = b[0]
+            assert r.kept == (not r.base_failed and 100 * b[2] <= 25 * n and 100 * shouted <= 25 * n and 3 * n <= 2 * b[1] <= 50 * n and 100 * b[3] <= 50 * len(lines))
 
 
 def test_filter_keeps_columns_and_agrees_with_report(docs):
@@ -60,6 +63,27 @@ def test_order_is_rejection_per_cost_and_does_not_change_the_verdict(spark, docs
     assert docs.where(forward != backward).count() == 0
 
 
+def test_later_rules_are_not_evaluated(spark, docs, monkeypatch):
+    """A rule that fails when it is evaluated must not meet what a rule before it rejects."""
+    trap = lambda least: quality.Rule("trap", lambda m: F.when(quality.shouted_words(F.col("text")) >= least, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(False))
+    few = quality.Rule("few", lambda m: m("n_words") < 10_000)
+    order = [few, trap(0)]
+    assert docs.where(quality.first_failure(order, quality.from_text(F.col("text"))).isNull()).count() == 0
+    with pytest.raises(Exception, match="evaluated"):
+        docs.where(quality.first_failure(order[::-1], quality.from_text(F.col("text"))).isNull()).count()
+    # the report takes its own measures for all rows, the others for what is left
+    asked = []
+    rules = [quality.Rule("few", lambda m: m("n_words") < 10_000), quality.Rule("trap", lambda m: asked.append(1) or F.raise_error(F.lit("evaluated")).cast("boolean"))]
+    monkeypatch.setattr(quality, "estimated", lambda df, rules, *a, **k: [quality.Estimate(r, 1.0, 0.5) for r in rules])
+    assert quality.quality_report(docs, rules=rules).where("kept").count() == 0 and asked
+
+
+def test_the_sample_comes_from_the_whole_table(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "first half" if i < 2000 else "a b c d e f g h i j k l") for i in range(4000)], "doc_id long, text string").coalesce(1)
+    (got,) = quality.estimated(df, [quality.default_rules()[0]], sample_rows=400)
+    assert 0.4 < got.selectivity < 0.6
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert quality.quality_report(empty).count() == 0 and quality.quality_filter(empty).count() == 0
