@@ -14,7 +14,7 @@ exactly. All joins are on (source, bucket), so a source with a third of all rows
 over all of its buckets.
 
 Null texts have size 0 and are taken as often as the others of their source, to no words.
-A null source is a source of its own, last in order. Rows that repeat the same id and size
+A null source is a source of its own, last in order. Rows that repeat both id and text
 are drawn in an arbitrary order among themselves, which does not change the result's rows.
 A budget larger than all caps together is cut to them. Empty tables give empty results.
 """
@@ -79,16 +79,17 @@ def water_fill(stats: DataFrame, budget: int, max_epochs: int = MAX_EPOCHS) -> D
     return stats.withColumn("target", F.when(above, cap.cast("double")).otherwise(F.least(share, cap.cast("double"))))
 
 
-def _hash(seed: int, id_column: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))))
+def _hash(seed: int, id_column: str, text: str) -> Column:
+    """Of id and text, as many rows may share an id or have none."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
 
 
 def _drawn(df: DataFrame, carried: Sequence[str], weights: Sequence[int], max_epochs: int, seed: int, id_column: str, text: str, source: str, budget: int | None) -> DataFrame:
     """One row per document: columns ``_c0``... for ``carried``, and ``_size``, ``_source_size``, ``_target``, ``_repeats``."""
     scratch = Scratch(df.sparkSession, "mix")
     named = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source)))
-    bucket = F.conv(F.substring(_hash(seed, id_column), 1, 3), 16, 10).cast("int")
-    rows = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)], named.alias("_named"), bucket.alias("_bucket"), n_words(F.col(text)).alias("_size"), _hash(seed, id_column).alias("_h"))
+    bucket = F.conv(F.substring(_hash(seed, id_column, text), 1, 3), 16, 10).cast("int")
+    rows = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)], named.alias("_named"), bucket.alias("_bucket"), n_words(F.col(text)).alias("_size"), _hash(seed, id_column, text).alias("_h"))
     sums = scratch.write(
         df.select(F.col(source).alias("source"), named.alias("_named"), bucket.alias("_bucket"), n_words(F.col(text)).alias("_size"))
         .groupBy("source", "_named", "_bucket").agg(F.sum("_size").alias("_words")), "sums",
@@ -131,7 +132,7 @@ def mix(df: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_E
 #: DuckDB SQL for ``mixing_plan`` with the default parameters.
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+    md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::HUGEINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::HUGEINT AS weight, 3 * source_size AS cap FROM s),
 b AS (SELECT sum(source_size) AS budget FROM s),
