@@ -15,7 +15,11 @@ is computed again cannot move a row.
 Law ``bytes``: a document is as large as its UTF-8 text plus 1; a shard takes those documents
 whose middle byte falls into its part of the total. Null texts have size 1 and checksum 0 of
 the empty text. Null ids sort first. Rows that are equal in all sort columns are placed in any
-order among themselves. Empty tables give empty results.
+order among themselves, in one task. Empty tables give empty results.
+
+Equal texts of one language and source lie next to each other. They are not held in one shard
+beyond that: a group of them may be a third of all rows, more than a shard of near equal bytes
+has room for, and sources are what readers prune by.
 """
 
 from __future__ import annotations
@@ -133,7 +137,7 @@ def hilbert_shards(df: DataFrame, n_shards: int, dimensions: Sequence[Column] |
     out = placed.withColumn("_part", part).join(F.broadcast(offsets.select("_part", "_rows_before")), "_part").withColumn("_which", which)
     return out.select(
         *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carried)], F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
-        F.get(names, F.col("_which")).alias("shard"), (rank - F.get(ranks, F.col("_which"))).cast("int").alias("slot"),
+        F.get(names, F.col("_which")).alias("shard"), (rank - F.get(ranks, F.col("_which"))).cast("long").alias("slot"),
     )
 
 
