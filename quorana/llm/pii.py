@@ -7,7 +7,13 @@ and PMI(t, e) = log(N n_te / (n_t n_e)); the n are documents of the whole corpus
 the entity, the term, or both. In a document that mentions e, its terms from REMOVE_AT on
 are removed and those from GENERALISE_AT on generalised to their class. Estimates count only
 with SUPPORT or more different texts in which term and entity meet, so that a word which
-occurs once is not taken for a sign.
+occurs once is not taken for a sign. An entity of fewer texts than that has no estimate of
+its own; there the terms that disclose its group count: the domain of an address, the network
+of an IP address, the issuer of a card, the area of a phone number. Only entities whose group
+is as rare have none.
+
+A term that is too frequent to reach the threshold for an entity, whatever they share, does
+not meet it; texts with very many entities are worked off in blocks.
 
 Null and empty texts hold nothing. Documents are matched by the digest of their text, so
 repeated rows and repeated or null ids are all treated alike; offsets are code points, ends
@@ -18,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorana.llm.columns import WORD, let, matches, words
@@ -33,8 +39,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}+)"
+_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
 IP_VALID = rf"^{_PART}(?:\.{_PART}){{3}}$"
+#: Entities of one text that meet its terms in one task.
+BLOCK = 64
 _FOUND = "array<struct<start: bigint, rank: int, end: bigint, kind: string, value: string>>"
 
 
@@ -81,7 +89,29 @@ def terms(text: Column) -> Column:
 
 
 def _named(e: Column) -> Column:
-    return F.concat_ws(":", e["kind"], e["value"])
+    """struct(entity, group) of an entity; a group's name ends in a star, which no entity's does."""
+    value, kind = e["value"], e["kind"]
+    part = (
+        F.when(kind == "email", F.regexp_extract(value, "@.*$", 0)).when(kind == "ip", F.regexp_extract(value, r"^[0-9]+\.[0-9]+", 0))
+        .when(kind == "card", F.substr(value, F.lit(1), F.lit(6))).otherwise(F.substr(value, F.lit(1), F.lit(4)))
+    )
+    return F.struct(F.concat_ws(":", kind, value).alias("entity"), F.concat_ws(":", kind, part, F.lit("*")).alias("group"))
+
+
+def _units(holders: DataFrame, support: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What is estimated, (text_key, copies, unit, n_e), and what each text's entities are judged by, (text_key, unit)."""
+    named = scratch.write(holders.select("text_key", "copies", F.explode(F.array_distinct(F.transform(entities(F.col("text")), _named))).alias("e")).select("text_key", "copies", "e.*"), "named")
+    of = named.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts"), F.first("group").alias("group"))
+    of = scratch.write(of, "entities")
+    known = of.where(F.col("texts") >= support).select(F.col("entity").alias("unit"), "n_e")
+    rare = of.where(F.col("texts") < support)
+    grouped = named.select("text_key", "copies", F.col("group").alias("unit")).distinct().join(rare.select(F.col("group").alias("unit")).distinct(), "unit")
+    grouped = scratch.write(grouped, "grouped")
+    known = known.unionByName(grouped.groupBy("unit").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"))
+    known = scratch.write(known, "known")
+    held = named.select("text_key", "copies", F.col("entity").alias("unit")).unionByName(grouped.select("text_key", "copies", "unit"))
+    judged = named.select("text_key", "entity").join(of.select("entity", F.when(F.col("texts") >= support, F.col("entity")).otherwise(F.col("group")).alias("unit")), "entity").select("text_key", "unit").distinct()
+    return scratch.write(held.join(known, "unit"), "held"), judged
 
 
 def disclosure(df: DataFrame, text: str = "text", support: int = SUPPORT, least: float = GENERALISE_AT) -> DataFrame:
@@ -90,28 +120,30 @@ def disclosure(df: DataFrame, text: str = "text", support: int = SUPPORT, least:
     All counts are over all rows; ``text_key`` is the MD5 of the text.
     """
     scratch = Scratch(df.sparkSession, "pii")
-    body = F.col(text)
+    body, n = F.col(text), df.count()
     holders = scratch.write(
         df.select(body.alias("text")).where(F.size(entities(F.col("text"))) > 0).groupBy("text").agg(F.count("*").alias("copies")).withColumn("text_key", F.md5("text")), "holders",
     )
-    named = holders.select("text_key", "copies", F.explode(F.array_distinct(F.transform(entities(F.col("text")), _named))).alias("entity"))
-    known = named.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
-    named = scratch.write(named.join(known, "entity"), "named")
-    worded = holders.join(named.select("text_key").distinct(), "text_key").select("text_key", "copies", F.explode(terms(F.col("text"))).alias("term"))
-    met = scratch.write(
-        named.select("text_key", "entity", "n_e").join(worded, "text_key").groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts"))
-        .where(F.col("texts") >= support).drop("texts"), "met",
-    )
-    wanted = met.select("term").distinct()
+    held, judged = _units(holders, support, scratch)
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("text_key")) / BLOCK)
+    held = scratch.write(held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks"))), "blocks")
+    per_text = held.groupBy("text_key").agg(F.max("n_e").alias("most"), F.max("blocks").alias("blocks"))
+    worded = holders.join(per_text, "text_key").select("text_key", "most", "blocks", F.explode(terms(F.col("text"))).alias("term"))
     # one row per word of the corpus; partial sums are made before the shuffle
-    spread = df.select(F.explode(terms(body)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
-    n = df.count()
+    spread = df.select(F.explode(terms(body)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    # with n_te at most n_e, the degree is below ``least`` for every term above this
+    frequent = lambda n_e: F.lit(float(max(n, 1)) ** (1 - least) * (1 + 1e-9)) * F.pow(F.col(n_e).cast("double"), F.lit(least))
+    worded = scratch.write(worded.join(spread, "term").where(F.col("n_t") <= frequent("most")).select("text_key", "blocks", "term", "n_t"), "worded")
+    meeting = worded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    met = (
+        held.drop("blocks").join(meeting, ["text_key", "block"]).where(F.col("n_t") <= frequent("n_e"))
+        .groupBy("unit", "n_e", "term", "n_t").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    )
     gain = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     degree = F.when(F.col("n_e") < n, gain / F.log(F.lit(float(n)) / F.col("n_e")))
-    telling = met.join(spread, "term").withColumn("degree", F.least(degree, F.lit(1.0))).where(F.col("degree") >= least).select("entity", "term", "degree")
-    telling = scratch.write(telling, "telling")
-    per_text = named.select("text_key", "entity").join(telling, "entity").join(worded.select("text_key", "term"), ["text_key", "term"])
-    best = per_text.groupBy("text_key", "term").agg(F.max("degree").alias("degree"))
+    telling = scratch.write(met.withColumn("degree", F.least(degree, F.lit(1.0))).where(F.col("degree") >= least).select("unit", "term", "degree"), "telling")
+    told = judged.join(telling, "unit").join(worded.select("text_key", "term"), ["text_key", "term"])
+    best = told.groupBy("text_key", "term").agg(F.max("degree").alias("degree"))
     return scratch.write(best.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "degree"))).alias("terms")), "per_text")
 
 
