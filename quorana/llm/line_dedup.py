@@ -3,8 +3,8 @@
 A line is removed if an earlier line of the corpus equals it or is one edit away (one code
 point inserted, deleted or replaced). Earlier means: smaller id, then (for ids that repeat)
 smaller text hash, then smaller line number; lines are compared as they came in, whether or
-not they are kept themselves. Lines below MIN_CHARS code points have no edits: they are kept,
-or, with ``short_lines``, removed if they have a word (a letter or digit) and equal an earlier line.
+not they are kept themselves. Lines below MIN_CHARS code points have no edits: they are removed
+if they have a word (a letter or digit) and equal an earlier line, or kept without ``short_lines``.
 Lines below that are empty or hold signs alone, such as a closing bracket, are always kept.
 
 Two lines within one edit agree on the first or on the second half of the shorter one, so
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quorana.workdir import Scratch
 
 #: One edit makes another line of a shorter one; code points per block of the neighbourhood.
-MIN_CHARS, BLOCK = 20, 64
+MIN_CHARS, BLOCK = 6, 64
 
 
 def _document(df: DataFrame, id_column: str, text: str) -> list[Column]:
@@ -94,7 +94,7 @@ def neighbourhood(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return replaced, whole, shorter
 
 
-def removed_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
+def removed_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_lines: bool = True) -> DataFrame:
     """(nameless, id, version, no) of every line to remove."""
     scratch = Scratch(df.sparkSession, "lines")
     place = F.struct("nameless", "id", "version", "no")
@@ -139,14 +139,14 @@ def _matched(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone, on, "left").withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
 
 
-def line_report(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
+def line_report(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_lines: bool = True) -> DataFrame:
     """One row per row of ``df``: id, n_lines, n_removed, and the numbers of the removed lines from 0, comma-joined."""
     rows = df.select(F.col(id_column).alias("_row_id"), F.xxhash64(text).alias("_row_version"), F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n", -1))).cast("long").alias("n_lines"))
     got = _matched(rows, _per_document(df, id_column, text, min_chars, short_lines))
     return got.select(F.col("_row_id").alias(id_column), "n_lines", F.size("_removed").cast("long").alias("n_removed"), F.array_join(F.transform("_removed", lambda x: x.cast("string")), ",").alias("removed_lines"))
 
 
-def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_lines: bool = True) -> DataFrame:
     """``df`` with the removed lines gone from its texts; other columns unchanged."""
     rows = df.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(df.columns)], F.col(id_column).alias("_row_id"), F.xxhash64(text).alias("_row_version"))
     got = _matched(rows, _per_document(df, id_column, text, min_chars, short_lines))

@@ -55,7 +55,7 @@ def corpus():
 def test_equals_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, line string")
-    got = {r.doc_id: r for r in line_dedup.line_report(df, min_chars=MIN).collect()}
+    got = {r.doc_id: r for r in line_dedup.line_report(df, min_chars=MIN, short_lines=False).collect()}
     for i, want in enumerate(brute(docs)):
         assert got[i].removed_lines == ",".join(map(str, want)), (i, docs[i])
         assert got[i].n_lines == (len(docs[i].split("\n")) if docs[i] is not None else 0)
@@ -64,7 +64,7 @@ def test_equals_brute_force(spark):
 def test_texts_nulls_and_repeats(spark):
     rows = [(1, "a long enough line\nother content here"), (None, "a long enough line!"), (1, "a long enough line\nother content here"), (2, "other content here\nfresh content now"), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id or 99, r.text) for r in line_dedup.dedup_lines(df).collect() if r.text is not None)
+    got = sorted((r.doc_id or 99, r.text) for r in line_dedup.dedup_lines(df, min_chars=20, short_lines=False).collect() if r.text is not None)
     assert got == [(1, rows[0][1]), (1, rows[0][1]), (2, "other content here\nfresh content now"), (99, "a long enough line!")]
     got = sorted((r.doc_id or 99, r.text) for r in line_dedup.dedup_lines(df, min_chars=MIN).collect() if r.text is not None)
     assert got == [(1, rows[0][1]), (1, rows[0][1]), (2, "fresh content now"), (99, "")]
