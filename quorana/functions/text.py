@@ -31,6 +31,12 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+@F.pandas_udf(T.StringType())
+def nfc_casefold(s: pd.Series) -> pd.Series:
+    """Unicode NFC and full case folding, which lower case is not (ß, final sigma)."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).casefold())
+
+
 @F.pandas_udf(T.StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     """NFKD without combining marks."""
@@ -101,8 +107,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def canonical_original(s: Column, normalise: bool = True) -> Column:
-    """NFC, lower case, single blanks, no punctuation at the ends."""
-    t = F.lower(nfc(s) if normalise else s)
+    """NFC, case folded, single blanks, no punctuation at the ends. ``normalise=False`` takes ASCII only, in lower case."""
+    t = nfc_casefold(s) if normalise else F.lower(s)
     return F.btrim(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(" .,;:'\"()[]{}<>"))
 
 
@@ -144,6 +150,11 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def word_counts(text: Column, tokens: Sequence[str]) -> Column:
+    """array<struct(token, n)> for each phrase of a bounded list: how often it occurs as whole words."""
+    return F.array(*[F.struct(F.lit(t).alias("token"), contains_word(text, F.lit(t)).cast("long").alias("n")) for t in tokens])
+
+
 def contains_word(text: Column, token: Column) -> Column:
     """How often a phrase occurs as whole words, in any case, blanks and hyphens alike."""
     body = F.regexp_replace(F.regexp_replace(token, r"([.+*?^$(){}|\[\]\\])", r"\\$1"), r"[\s-]+", r"[\\s-]+")

@@ -69,12 +69,13 @@ def marked(content: Column, atom_id: Column, salt: bytes, tag: int) -> Column:
     return F.when(token == "", in_text).otherwise(F.concat(F.substr(in_text, F.lit(1), at - 1), with_suffix, F.substr(in_text, at + F.length(token))))
 
 
-def detected(texts: DataFrame, text: str, least: int = LEAST_CARRIERS) -> DataFrame:
-    """(tag, n_carriers, n_texts, winner): the tags found in all texts; the most frequent one wins from ``least`` carriers on, of equals the smallest."""
-    found = texts.select(F.explode(carriers(F.col(text))).alias("c")).groupBy(F.col("c.tag").alias("tag")).agg(F.count("*").alias("n_carriers"), F.countDistinct("c.method").alias("n_methods"))
-    top = found.agg(F.max(F.struct("n_carriers", F.expr("translate(tag, '0123456789abcdef', 'fedcba9876543210')").alias("o"))).alias("t"))
-    joined = found.crossJoin(F.broadcast(top))  # one row
-    return joined.select("tag", "n_carriers", "n_methods", ((F.expr("translate(tag, '0123456789abcdef', 'fedcba9876543210')") == F.col("t.o")) & (F.col("n_carriers") == F.col("t.n_carriers")) & (F.col("n_carriers") >= least)).alias("winner"))
+def detected(texts: DataFrame, text: str, order: str, least: int = LEAST_CARRIERS) -> DataFrame:
+    """(tag, n_carriers, n_methods, winner): the tags found in all texts; the most frequent one wins from ``least`` carriers on, of equals the one met first by ``order``."""
+    met = texts.select(F.col(order).alias("_o"), F.posexplode(carriers(F.col(text))).alias("_k", "c")).select(F.col("c.tag").alias("tag"), F.col("c.method").alias("method"), F.struct("_o", "_k").alias("at"))
+    found = met.groupBy("tag").agg(F.count("*").alias("n_carriers"), F.countDistinct("method").alias("n_methods"), F.min("at").alias("first"))
+    top = found.agg(F.min(F.struct((-F.col("n_carriers")).alias("n"), "first", "tag")).alias("t")).select(F.col("t.tag").alias("_top"))
+    joined = found.join(F.broadcast(top))  # one row
+    return joined.select("tag", "n_carriers", "n_methods", ((F.col("tag") == F.col("_top")) & (F.col("n_carriers") >= least)).alias("winner"))
 
 
 def bound(*values: Column) -> Column:

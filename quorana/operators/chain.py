@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorana.workdir import Scratch
+
 GENESIS = "0" * 64
 
 
@@ -45,19 +47,28 @@ def version_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return added.unionByName(old.select(key).distinct().join(new, key, "left_anti").withColumn("change", F.lit("removed")))
 
 
-def ancestors(nodes: DataFrame, child: str, parent: str, depth: int = 32) -> DataFrame:
-    """(child, ancestor, depth, cycle) along parent pointers.
+def ancestors(nodes: DataFrame, child: str, parent: str, depth: int | None = None) -> DataFrame:
+    """(child, ancestor, depth, cycle) along parent pointers, up to ``depth`` steps if it is given.
 
-    Doubling: each round joins paths with paths, so chains of n steps take log2(n) rounds. A path
-    that returns to its start is a cycle; longer than ``depth`` steps are not followed.
+    Doubling: each round joins paths with paths and writes them, so chains of n steps take log2(n)
+    rounds; it ends with the round that finds nothing new. A path that returns to its start is a cycle.
     """
+    scratch = Scratch(nodes.sparkSession, "ancestors")
     paths = nodes.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    reach = 1
-    while reach < depth:
+    paths = scratch.write(paths, "paths0")
+    reach, before = 1, paths.count()
+    while depth is None or reach < depth:
         tail = paths.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("depth").alias("_more"))
         longer = paths.where("child != ancestor").join(tail, "ancestor").select("child", F.col("_next").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
-        paths = paths.unionByName(longer).where(F.col("depth") <= depth).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+        both = paths.unionByName(longer)
+        both = both if depth is None else both.where(F.col("depth") <= depth)
+        paths = scratch.write(both.groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), f"paths{2 * reach}")
+        scratch.drop(f"paths{reach}" if reach > 1 else "paths0")
         reach *= 2
+        now = paths.count()
+        if now == before:
+            break
+        before = now
     return paths.withColumn("cycle", F.col("child") == F.col("ancestor"))
 
 

@@ -12,10 +12,10 @@ SUPPORT_AT, STRONG_SHARE, MODERATE_SHARE = 0.5, 0.8, 0.5
 
 
 def tier(support: Column, n_raters: Column) -> Column:
-    """STRONG from ceil(0.8 n) supporters, MODERATE from ceil(0.5 n), else WEAK."""
+    """STRONG from ceil(0.8 n) supporters, MODERATE from ceil(0.5 n), else WEAK; WEAK without raters."""
     return (
-        F.when(support >= F.ceil(F.lit(STRONG_SHARE) * n_raters), "STRONG")
-        .when(support >= F.ceil(F.lit(MODERATE_SHARE) * n_raters), "MODERATE")
+        F.when((n_raters > 0) & (support >= F.ceil(F.lit(STRONG_SHARE) * n_raters)), "STRONG")
+        .when((n_raters > 0) & (support >= F.ceil(F.lit(MODERATE_SHARE) * n_raters)), "MODERATE")
         .otherwise("WEAK")
     )
 
@@ -53,11 +53,11 @@ def pivoted(cell_rows: DataFrame, raters: Sequence[str], key: str = "key", rater
 
 
 def scalar_vote(rows: DataFrame, keys: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
-    """The most frequent non-null ``value`` of each key; ``tie`` where the first two draw."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    top = counts.groupBy(*keys).agg(F.max("_n").alias("_top"))
-    at_top = counts.join(top, list(keys)).where(F.col("_n") == F.col("_top"))
-    return at_top.groupBy(*keys).agg(F.count("*").alias("_d"), F.min(value).alias("_v")).select(*keys, F.when(F.col("_d") > 1, F.lit(tie)).otherwise(F.col("_v")).alias(out))
+    """The most frequent non-null ``value`` of each key; ``tie`` where the first two draw, or where all values are null."""
+    counts = rows.groupBy(*keys, value).agg(F.count(value).alias("_n"))
+    # the greatest and the least of the most frequent values; a null has no count, so it comes last
+    ends = counts.groupBy(*keys).agg(F.max(F.struct("_n", F.col(value).alias("v"))).alias("_hi"), F.min(F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))).alias("_lo"))
+    return ends.select(*keys, F.when(F.col("_hi.v") == F.col("_lo.v"), F.col("_hi.v")).otherwise(F.lit(tie)).alias(out))
 
 
 def list_vote(rows: DataFrame, keys: Sequence[str], lists: str, fallback: str, out: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def origin_scope(docs: DataFrame, keys: Sequence[str], institution: str, start: str, end: str) -> DataFrame:
@@ -61,14 +64,22 @@ def has_pointer(document: Column, pointer: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(holder), last), F.lit(False))
 
 
-def keys_within(document: Column, depth: int = 6) -> Column:
-    """The distinct object keys of a JSON text, down to a depth, in the order of their first appearance on a level."""
-    found = F.array().cast("array<string>")
-    level = F.array(document)
-    for _ in range(depth):
-        maps = F.transform(level, lambda d: F.from_json(d, "map<string,string>"))
-        lists = F.transform(level, lambda d: F.from_json(F.concat(F.lit('{"x":'), d, F.lit("}")), "x array<string>")["x"])
-        found = F.concat(found, F.flatten(F.transform(maps, lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>")))))
-        values = F.flatten(F.transform(maps, lambda m: F.coalesce(F.map_values(m), F.array().cast("array<string>"))))
-        level = F.filter(F.concat(values, F.flatten(F.transform(lists, lambda x: F.coalesce(x, F.array().cast("array<string>"))))), lambda v: v.startswith("{") | v.startswith("["))
-    return F.array_distinct(found)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def keys_within(documents: pd.Series) -> pd.Series:
+    """The distinct object keys of a JSON text at any depth, sorted; null for what is no JSON. The JVM cannot walk to an unknown depth."""
+
+    def one(raw: str | None) -> list[str] | None:
+        try:
+            todo, keys = [json.loads(raw)] if raw is not None else [], set()
+        except (ValueError, RecursionError):
+            return None
+        while todo:
+            value = todo.pop()
+            if isinstance(value, dict):
+                keys |= value.keys()
+                todo += value.values()
+            elif isinstance(value, list):
+                todo += value
+        return None if raw is None else sorted(keys)
+
+    return documents.map(one)

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorana.functions.codes import commitment, keep_leaf, merkle_root_of, sha256
+from quorana.functions.codes import commitment, keep_leaf, manifest_leaf, merkle_root_of, merkle_roots, sha256
 from quorana.functions.text import nfc, strip_marks
+from quorana.operators.redaction import numbered_within
 
 # --- fixed values: lineage classes, and the class that each way of deriving an atom leads to
 CLASSES = ("SPAN_VERIFIED", "PSEUDONYMISED_TRACEABLE", "SYNTHETIC_UNPROVABLE")
@@ -158,11 +159,17 @@ def mode_problems(atoms: DataFrame, refs: DataFrame, modes: DataFrame) -> DataFr
 
 
 def manifest_root(doc_ids: Column) -> Column:
-    """The root over sorted document ids of one manifest."""
-    from quorana.functions.codes import manifest_leaf
-
+    """The root over sorted document ids of one manifest that fits a row."""
     return F.lower(F.hex(merkle_root_of(F.transform(F.array_sort(doc_ids), manifest_leaf))))
 
 
+def manifest_roots(docs: DataFrame, keys: Sequence[str], doc_id: str) -> DataFrame:
+    """(keys, n, root) of manifests that may be large: distinct ids in their order, hashed level by level over the whole table."""
+    ids = numbered_within(docs.select(*keys, doc_id).distinct(), keys, [doc_id], "_at")
+    counts = ids.groupBy(*keys).agg(F.count("*").alias("n"))
+    roots = merkle_roots(ids.select(*keys, "_at", manifest_leaf(F.col(doc_id)).alias("_leaf")), list(keys), "_at", "_leaf")
+    return counts.join(roots, list(keys)).select(*keys, "n", F.lower(F.hex("root")).alias("root"))
+
+
 def doc_id_of(text: Column) -> Column:
     return F.lower(F.hex(sha256(text)))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorana.functions.text import canonical_original
 from quorana.functions.values import GAZETTEER_ORDER, band, date_token, parse_amount
+from quorana.workdir import Scratch
 
 
 def make_token(kind: Column, original: Column, pseudonym: Column, shift_days: Column | None = None) -> Column:
@@ -44,8 +44,6 @@ def merged_roots(old: DataFrame, new: DataFrame, key: str, same_policy: Column)
 
 def numbered(rows: DataFrame, order: Sequence[str], out: str = "number", partitions: int = 8) -> DataFrame:
     """Rows numbered from 1 in an order, by the place in a range partition and the rows before it; ties in any order."""
-    from quorana.workdir import Scratch
-
     scratch = Scratch(rows.sparkSession, "numbered")
     placed = scratch.write(rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
     part = F.shiftright("_at", 33)
@@ -55,6 +53,14 @@ def numbered(rows: DataFrame, order: Sequence[str], out: str = "number", partiti
     return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before", "_at")
 
 
+def numbered_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Rows numbered from 0 within each key, by their number in all less the first number of their key; no key is gathered in one task."""
+    placed = Scratch(rows.sparkSession, "numbered-within").write(numbered(rows, [*keys, *order], "_all", int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "all")
+    first = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_all").alias("_first"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return placed.join(first, on).withColumn(out, F.col("_all") - F.col("_first")).drop("_all", "_first", *[f"_k{i}" for i in range(len(keys))])
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement: the first by a seeded digest of their key, the same in every run."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))

@@ -52,7 +52,7 @@ def matrix_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def axis_vote_scalar(spark: SparkSession, sf: str) -> DataFrame:
-    rows = samples(spark, sf).select("key", "l_returnflag", F.when(F.col("l_linenumber") % 5 != 0, F.col("l_linestatus")).alias("side"))
+    rows = samples(spark, sf).select("key", "l_returnflag", F.when((F.col("l_linenumber") % 5 != 0) & ~F.col("key").startswith("Brand#3"), F.col("l_linestatus")).alias("side"))
     flag = C.scalar_vote(rows, ["key"], "l_returnflag", "multi", "flag")
     return flag.join(C.scalar_vote(rows, ["key"], "side", "both", "side"), "key")
 
@@ -102,14 +102,14 @@ TIERS = """SELECT key, count(*) FILTER (cell >= 0.4) AS model_support,
   CASE WHEN count(*) FILTER (cell >= 0.4) >= ceil(0.8 * count(*)) THEN 'STRONG'
        WHEN count(*) FILTER (cell >= 0.4) >= ceil(0.5 * count(*)) THEN 'MODERATE' ELSE 'WEAK' END AS tier
 FROM cells {where} GROUP BY key"""
-VOTE = """SELECT key, CASE WHEN count(*) > 1 THEN '{tie}' ELSE min(v) END AS {out} FROM
-  (SELECT key, v, rank() OVER (PARTITION BY key ORDER BY n DESC) AS r FROM (SELECT key, {value} AS v, count(*) AS n FROM base WHERE {value} IS NOT NULL GROUP BY ALL)) WHERE r = 1 GROUP BY key"""
+VOTE = """SELECT key, CASE WHEN count(v) = 1 THEN min(v) ELSE '{tie}' END AS {out} FROM
+  (SELECT key, v, rank() OVER (PARTITION BY key ORDER BY n DESC) AS r FROM (SELECT key, {value} AS v, count({value}) AS n FROM base GROUP BY ALL)) WHERE r = 1 GROUP BY key"""
 FIRST = """SELECT key, p_size, rater, sample, l_orderkey, l_linenumber, n_name FROM (SELECT *, row_number() OVER (PARTITION BY key, p_size ORDER BY rater, sample, l_orderkey, l_linenumber) AS rn FROM base) WHERE rn = 1"""
 SQL = {
     "matrix_long_cells": BASE + "SELECT key, rater, n, k, cell FROM cells",
     "consensus_matrix": BASE + TIERS.format(where=""),
     "matrix_pivot": BASE + "SELECT key, " + ", ".join(f"max(printf('%.4f', round_even(cell, 4))) FILTER (rater = '{r}') AS \"{r}\"" for r in REGIONS) + " FROM cells GROUP BY key",
-    "axis_vote_scalar": BASE + "SELECT * FROM (" + VOTE.format(tie="multi", out="flag", value="l_returnflag") + ") JOIN (" + VOTE.format(tie="both", out="side", value="CASE WHEN l_linenumber % 5 <> 0 THEN l_linestatus END") + ") USING (key)",
+    "axis_vote_scalar": BASE + "SELECT * FROM (" + VOTE.format(tie="multi", out="flag", value="l_returnflag") + ") JOIN (" + VOTE.format(tie="both", out="side", value="CASE WHEN l_linenumber % 5 <> 0 AND key NOT LIKE 'Brand#3%' THEN l_linestatus END") + ") USING (key)",
     "axis_vote_list": BASE + """, lists AS (SELECT DISTINCT rater, sample, key FROM base), held AS (SELECT key, l_returnflag AS f, count(*) AS n FROM (SELECT DISTINCT rater, sample, key, l_returnflag FROM base) GROUP BY ALL)
 SELECT l.key, coalesce(string_agg(f, ',' ORDER BY f), 'GLOBAL') AS flags FROM (SELECT key, count(*) AS n FROM lists GROUP BY key) l LEFT JOIN held h ON h.key = l.key AND h.n * 2 > l.n GROUP BY l.key""",
     "seat_pool_median": BASE + "SELECT key, median(l_extendedprice * (1 - l_discount)) AS seat_median, median(l_extendedprice) AS price_median, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS functions, count(DISTINCT p_size) AS tasks FROM base GROUP BY key",

@@ -105,16 +105,17 @@ def manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hierarchy_ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers under the customer with half their number; a few point forward and close a cycle."""
-    nodes = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") == 3, F.lit(13)).when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 2)).cast("long").alias("parent"))
-    return chain.ancestors(nodes, "id", "parent", depth=16).select("child", "ancestor", "cycle")
+    """Customers under the customer with half their number, the first hundred each under the one before; one points forward and closes a cycle."""
+    k = F.col("c_custkey")
+    nodes = read(spark, sf, "customer").select(k.alias("id"), F.when(k == 3, F.lit(13)).when(k.between(14, 100), k - 1).when(k > 1, F.floor(k / 2)).cast("long").alias("parent"))
+    return chain.ancestors(nodes, "id", "parent").select("child", "ancestor", "cycle")
 
 
 def division_rollup_voids(spark: SparkSession, sf: str) -> DataFrame:
     """Parts are divisions, line items rows that paint by priority of their order and return flag."""
     orders = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     weights = {"1-URGENT": 3, "2-HIGH": 2, "3-MEDIUM": 1}
-    rows = read(spark, sf, "lineitem").where("l_quantity >= 49").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = read(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     status, channel = F.when(F.col("l_returnflag") == "A", "RATIFIED_MAPPING").otherwise("PENDING"), F.when(F.col("o_orderstatus") == "F", "public").otherwise("private")
     rows = rows.withColumn("weight", overlay.paint_weight(status, channel, F.col("l_linestatus") == "F", F.lit("division"), F.col("o_orderpriority"), weights)).withColumn("row_id", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
     divisions = read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"))
@@ -195,7 +196,7 @@ LINES = """WITH lines AS (SELECT user_id, event_id, sha256(event_id::VARCHAR ||
 chained AS (SELECT *, coalesce(lag(line_hash) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) AS prev_hash FROM lines)"""
 CORRECTIONS = """WITH c AS (SELECT event_id, event_type, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN event_id - 10 WHEN event_id % 1001 = 7 THEN event_id + 5 END AS replaces FROM events)"""
 ROLLUP = """WITH r AS (SELECT l_partkey, l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS row_id, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 1 ELSE 0 END AS w
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 AND l_returnflag = 'A' AND o_orderstatus = 'F' AND l_linestatus = 'F'),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A' AND o_orderstatus = 'F' AND l_linestatus = 'F'),
 rolled AS (SELECT p_partkey AS division, coalesce(sum(w), 0) AS saturation, count(row_id) AS painted_rows, count(row_id) = 0 AS void, coalesce(string_agg(row_id, ',' ORDER BY row_id), '') AS row_ids FROM part LEFT JOIN (SELECT * FROM r WHERE w > 0) ON l_partkey = p_partkey GROUP BY p_partkey)"""
 DEPTH_LIST = "['none', 'division', 'function_concept', 'task_concept', 'terminal_task', 'control_point']"
 SQL = {
@@ -218,9 +219,9 @@ SELECT o_orderkey, CASE WHEN value = 0 THEN o_totalprice <> 0 ELSE abs(o_totalpr
     "ledger_dangling": CORRECTIONS + " SELECT c.event_id, c.replaces FROM c LEFT JOIN c e ON e.event_id = c.replaces WHERE c.replaces IS NOT NULL AND (e.event_id IS NULL OR e.event_id >= c.event_id)",
     "manifest_diff": """WITH o AS (SELECT DISTINCT sha256(text) AS doc FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT DISTINCT sha256(text) AS doc FROM documents WHERE doc_id % 5 <> 0)
 SELECT doc, 'added' AS change FROM n ANTI JOIN o USING (doc) UNION ALL SELECT doc, 'removed' FROM o ANTI JOIN n USING (doc)""",
-    "hierarchy_ancestors": """WITH RECURSIVE nodes AS (SELECT c_custkey AS id, CASE WHEN c_custkey = 3 THEN 13 WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer),
-paths AS (SELECT id AS child, parent AS ancestor, 1 AS depth FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT p.child, n.parent, p.depth + 1 FROM paths p JOIN nodes n ON p.ancestor = n.id WHERE n.parent IS NOT NULL AND p.child <> p.ancestor AND p.depth < 16)
-SELECT DISTINCT child, ancestor, child = ancestor AS cycle FROM paths""",
+    "hierarchy_ancestors": """WITH RECURSIVE nodes AS (SELECT c_custkey AS id, CASE WHEN c_custkey = 3 THEN 13 WHEN c_custkey BETWEEN 14 AND 100 THEN c_custkey - 1 WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer),
+paths AS (SELECT id AS child, parent AS ancestor FROM nodes WHERE parent IS NOT NULL UNION SELECT p.child, n.parent FROM paths p JOIN nodes n ON p.ancestor = n.id WHERE n.parent IS NOT NULL AND p.child <> p.ancestor)
+SELECT child, ancestor, child = ancestor AS cycle FROM paths""",
     "division_rollup_voids": ROLLUP + " SELECT * FROM rolled",
     "rollup_summary": ROLLUP + " SELECT count(*) AS admitted, count(*) FILTER (NOT void) AS painted, count(*) FILTER (void) AS voids, sum(painted_rows) AS painted_rows, max(saturation) AS max_saturation FROM rolled",
     "evidence_depth": f"""SELECT conv_id, {DEPTH_LIST}[1 + coalesce(max(turn % 6) FILTER (role = 'user'), 0)] AS evidence_depth, {DEPTH_LIST}[1 + coalesce(max(turn % 6) FILTER (role <> 'user'), 0)] AS candidate_depth FROM conversations GROUP BY conv_id""",

@@ -28,7 +28,7 @@ def listed_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 def refused_spans(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")
-    spans = e.where("event_id % 4 = 0").select("user_id", "event_id", F.floor(F.col("value") * 100).cast("long").alias("start"), (F.floor(F.col("value") * 100) + 150).cast("long").alias("end"), F.col("event_type").alias("class"))
+    spans = e.select("user_id", "event_id", F.floor(F.col("value") * 100).cast("long").alias("start"), (F.floor(F.col("value") * 100) + 150).cast("long").alias("end"), F.col("event_type").alias("class"))
     return redaction.refused_spans(spans, "user_id", ["click", "view", "purchase"]).groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -70,13 +70,14 @@ SQL = {
     "made_tokens": """WITH a AS (SELECT o_orderkey, o_orderdate, floor(o_totalprice) AS v FROM orders) SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '⟦DATE:' || strftime(o_orderdate, '%Y-%m') || '⟧'
   WHEN 1 THEN '⟦AMOUNT:' || CASE WHEN v < 1e3 THEN '<1k' WHEN v < 1e4 THEN '1k-10k' WHEN v < 1e5 THEN '10k-100k' WHEN v < 1e6 THEN '100k-1m' WHEN v < 1e7 THEN '1m-10m' WHEN v < 1e8 THEN '10m-100m' ELSE '>100m' END || '⟧' ELSE '⟦PERSON:ABCDEFGHIJ⟧' END AS token FROM a""",
     "listed_classes": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'COUNTERPARTY' WHEN n_nationkey % 2 = 0 THEN 'CLIENT' ELSE 'LOCATION' END AS class, n_nationkey % 5 = 0 AS allowed FROM nation UNION ALL SELECT n_nationkey + 100, NULL, false FROM nation",
-    "refused_spans": """WITH s AS (SELECT user_id, floor(value * 100)::BIGINT AS a, event_type AS c FROM events WHERE event_id % 4 = 0),
+    "refused_spans": """WITH s AS (SELECT user_id, floor(value * 100)::BIGINT AS a, event_type AS c FROM events),
 r AS (SELECT CASE WHEN c NOT IN ('click', 'view', 'purchase') THEN 'unknown class' WHEN coalesce(max(a + 150) OVER (PARTITION BY user_id ORDER BY a, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > a THEN 'overlap' END AS reason FROM s)
 SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason""",
     "merged_roots": "SELECT doc_id, 'old' AS root FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 4 AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, sha256(text) FROM documents WHERE doc_id % 3 = 0",
     "numbered_rows": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS number FROM orders",
     "seeded_sample": "SELECT c_custkey, c_name FROM customer ORDER BY md5('11:' || c_custkey::VARCHAR), c_custkey LIMIT 50",
-    "safe_paths": "SELECT page_id, page_id % 5 = 4 AS safe FROM pages",
+    "safe_paths": r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/' || url WHEN 1 THEN 'a/../' || page_id WHEN 2 THEN 'C:x' WHEN 3 THEN 'a\b' ELSE 'a/' || page_id || '..json' END AS path FROM pages)
+SELECT page_id, path <> '' AND NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AND NOT contains(path, '\') AND NOT regexp_matches(path, '^[A-Za-z]:') AS safe FROM p""",
     "report_sections": "SELECT n_regionkey, string_agg('- ' || n_name || ' (' || n_nationkey::VARCHAR || ')', chr(10) ORDER BY n_name) AS body FROM nation GROUP BY n_regionkey",
     "public_rows": "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%' OR p_brand LIKE 'Brand#3%'",
     "overridden_roles": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'dynamic' ELSE 'static' END AS role FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",

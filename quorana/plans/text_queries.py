@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorana.functions import codes, values
 from quorana.functions import text as X
-from quorana.operators import catalogue, lineage, residual, similarity
+from quorana.operators import catalogue, lineage, redaction, residual, similarity
 from quorana.operators import validate as V
 from quorana.plans import gates
 from quorana.plans.ledger_queries import hash_chain_broken, ledger_dangling, ledger_problems
@@ -55,16 +55,14 @@ TOKENS = ("the", "license", "que", "und")
 
 
 def forbidden_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = spark.createDataFrame([(t,) for t in TOKENS], "token string")
-    docs = read(spark, sf, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(tokens)).select("doc_id", "token", X.contains_word(F.col("text"), F.col("token")).cast("long").alias("n")).where("n > 0")
+    return read(spark, sf, "documents").select("doc_id", F.inline(X.word_counts(F.col("text"), TOKENS))).where("n > 0")
 
 
 def hashed_denylist(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a phrase of three words whose digest is on a list; the list holds no words."""
-    lead = F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), F.lit(1), F.lit(3)), " ")
+    """Documents that hold a phrase of one to six words whose digest is on a list; the list holds no words."""
+    lead = F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), F.lit(1), (F.col("item_id") % 6 + 1).cast("int")), " ")
     denied = read(spark, sf, "benchmark").select(F.sha2(lead, 256).alias("digest")).distinct()
-    said = read(spark, sf, "documents").select("doc_id", F.explode(X.phrases(F.col("text"), 3)).alias("p")).select("doc_id", F.sha2("p", 256).alias("digest"))
+    said = read(spark, sf, "documents").select("doc_id", F.explode(X.phrases(F.col("text"))).alias("p")).select("doc_id", F.sha2("p", 256).alias("digest"))
     return said.join(denied, "digest", "left_semi").groupBy("doc_id").agg(F.countDistinct("digest").alias("n"))
 
 
@@ -115,16 +113,13 @@ def keep_leaves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merkle_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = read(spark, sf, "documents").select("source", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("p"), F.sha2("text", 256).alias("leaf"))
+    rows = redaction.numbered_within(read(spark, sf, "documents").select("source", "doc_id", F.sha2("text", 256).alias("leaf")), ["source"], ["doc_id"], "p")
     return codes.merkle_roots(rows, ["source"], "p", "leaf", node=lambda a, b: F.sha2(F.concat(a, b), 256))
 
 
 def manifest_root(spark: SparkSession, sf: str) -> DataFrame:
-    """One root over the documents of each language, from one array per row."""
-    per = read(spark, sf, "documents").groupBy("lang").agg(F.collect_set(F.sha2("text", 256)).alias("ids"))
-    return per.select("lang", F.size("ids").alias("n"), lineage.manifest_root(F.col("ids")).alias("root"))
+    """One root over the documents of each language, in the order of their digests."""
+    return lineage.manifest_roots(read(spark, sf, "documents").select("lang", F.sha2("text", 256).alias("id")), ["lang"], "id").select("lang", "n", "root")
 
 
 ROLES = {"user": "SPAN_VERIFIED", "assistant": "SYNTHETIC_UNPROVABLE"}
@@ -154,9 +149,9 @@ def atom_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 def mode_checks(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")
-    a = e.select(F.col("event_id").alias("atom_id"), F.when(F.col("event_id") % 5 == 0, "SYNTHESISE").when(F.col("event_id") % 3 == 0, "PARAPHRASE").otherwise("QUOTE").alias("op"))
-    refs = e.where("event_id % 40 < 3").select(F.col("event_id").alias("atom_id"), F.col("user_id").alias("doc_id"))
-    modes = e.select(F.col("user_id").alias("doc_id")).distinct().withColumn("mode", F.when(F.col("doc_id") % 4 == 0, "SYNTHESISE").otherwise("REDACT"))
+    a = e.select(F.col("event_id").alias("atom_id"), F.when(F.col("value") < 1.5, "SYNTHESISE").when(F.col("value") < 60, "PARAPHRASE").otherwise("QUOTE").alias("op"))
+    refs = e.select(F.col("event_id").alias("atom_id"), F.col("user_id").alias("doc_id"))
+    modes = e.groupBy(F.col("user_id").alias("doc_id")).agg(F.when((F.max("event_id") % 4) == 0, "SYNTHESISE").otherwise("REDACT").alias("mode"))
     return lineage.mode_problems(a, refs, modes)
 
 
@@ -190,7 +185,7 @@ def severity_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def inconsistent_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events").where("event_id % 20 = 0").select((F.col("user_id") % 10).alias("scope"), F.col("user_id").cast("string").alias("original"), F.concat("event_type", F.lit(":"), (F.col("user_id") % 20).cast("string")).alias("token"))
+    e = read(spark, sf, "events").select((F.col("user_id") % 10).alias("scope"), F.col("user_id").cast("string").alias("original"), F.concat(F.when(F.col("value") > 90, F.col("event_type")).otherwise("usual"), F.lit(":"), (F.col("user_id") % 200).cast("string")).alias("token"))
     return residual.inconsistent_tokens(e, ["scope"], "original", "token")
 
 
@@ -230,7 +225,7 @@ def amount_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def carried_marks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents").where("doc_id % 5 = 0")
+    docs = read(spark, sf, "documents")
     marked = F.concat("text", F.lit(X.MARK_SEQUENCE), X.encode_tag(F.col("doc_id") * 7919), F.lit(X.MARK_END))
     return docs.select("doc_id", F.inline(X.carriers(marked)), (X.strip_marks(marked) == F.col("text")).alias("stripped"))
 
@@ -241,7 +236,7 @@ def marked_recipients(spark: SparkSession, sf: str) -> DataFrame:
     salt = b"query-salt"
     one, two = catalogue.mark_tag(salt, "package", "first"), catalogue.mark_tag(salt, "package", "second")
     rows = docs.where("atom_id % 3 <> 0").withColumn("text", catalogue.marked(F.col("text"), F.col("atom_id"), salt, one)).unionByName(docs.where("atom_id % 3 = 0").withColumn("text", catalogue.marked(F.col("text"), F.col("atom_id"), salt, two)))
-    return catalogue.detected(rows, "text")
+    return catalogue.detected(rows.withColumn("at", F.col("atom_id").cast("long")), "text", "at")
 
 
 def sealed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,7 +251,8 @@ def gate_report(spark: SparkSession, sf: str) -> DataFrame:
         "chain": lambda: gates.violations(hash_chain_broken(spark, sf), "event_id"),
         "corrections": lambda: gates.violations(ledger_dangling(spark, sf), "event_id"),
         "ledger": lambda: gates.violations(ledger_problems(spark, sf), "anchor_text"),
-        "cover": lambda: gates.violations(segment_cover(spark, sf).where("false"), "doc_id"),
+        "cover": lambda: gates.violations(segment_cover(spark, sf), "doc_id"),
+        "duplicates": lambda: gates.violations(content_duplicates(spark, sf).where("n > 1000000"), "content_id"),
         "crash": lambda: gates.violations(read(spark, sf, "no_such_table"), "x"),
     })
     return found.select("gate", "status", "n_violations")
@@ -267,9 +263,8 @@ def streamed_windows(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark, "stream")
     table = read(spark, sf, "events")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf.rstrip("/")}/event[s].parquet")
-    name = "windows_" + scratch.root.rpartition("-")[2]
     counted = streams.windowed(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", "6 hours")
-    got = streams.run_once(counted, name, "complete", f"{scratch.root}/checkpoint")
+    got = streams.run_once(counted, "complete", f"{scratch.root}/windows")
     return got.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"), "least", "most")
 
 
@@ -302,14 +297,18 @@ w AS (SELECT name, unnest(string_split_regex(trim(regexp_replace(lower(name), '[
 s AS (SELECT name, i, {SINGULAR} AS w FROM w WHERE w <> ''), c AS (SELECT name, string_agg(w, ' ' ORDER BY i) AS canon FROM s WHERE w NOT IN ({STOPS}) GROUP BY name)
 SELECT name, canon, trim(regexp_replace(canon, '[^a-z0-9]+', '_', 'g'), '_') AS key FROM c""",
     "content_duplicates": "SELECT sha256(text) AS content_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "integrity_check": "SELECT doc_id, doc_id % 10 <> 3 AS intact FROM documents",
-    "parsed_props": "SELECT event_id, event_id % 3 = 0 OR event_id % 17 <> 0 AS valid, CASE WHEN event_id % 3 = 0 OR event_id % 17 <> 0 THEN (props->>'k')::INT END AS k FROM events",
+    "integrity_check": "WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 3 THEN sha256(text || ' ') ELSE sha256(text) END AS told FROM documents) SELECT doc_id, coalesce(sha256(text) = told, false) AS intact FROM d",
+    "parsed_props": """WITH r AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN event_id % 17 = 0 THEN left(props, 4) ELSE props END AS raw FROM events),
+u AS (SELECT event_id, trim(regexp_replace(raw, '^```json\\n|\\n```$', '', 'g')) AS j FROM r)
+SELECT event_id, json_valid(j) AS valid, CASE WHEN json_valid(j) THEN TRY_CAST(json_extract_string(j, '$.k') AS INT) END AS k FROM u""",
     "schema_errors": "SELECT p_partkey, concat_ws(',', CASE WHEN NOT p_retailprice > 950 THEN 'price' END, CASE WHEN NOT p_size BETWEEN 5 AND 45 THEN 'size' END, CASE WHEN NOT regexp_matches(p_brand, '^Brand#[1-4]') THEN 'brand' END) AS errors FROM part",
-    "key_order": "SELECT c_custkey, c_custkey % 7 <> 0 AND c_custkey % 3 <> 0 AS ordered FROM customer",
+    "key_order": """WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '{"items": []}' ELSE '{"items": [{"a1": null, "x": 1.50, "name": "n"},' || CASE WHEN c_custkey % 3 = 0 THEN '{"name": "a1", "a1": [], "x": {"a1": 2}}' ELSE '{"a1": null, "x": 1.50, "name": "n"}' END || ']}' END AS raw FROM customer),
+i AS (SELECT c_custkey, json_extract(raw, '$.items[*]') AS x FROM r), k AS (SELECT c_custkey, list_transform(x, lambda o: json_keys(o)) AS ks FROM i)
+SELECT c_custkey, len(ks) > 0 AND len(list_filter(ks, lambda k: coalesce(list_position(k, 'a1') < list_position(k, 'name'), false))) = len(ks) AS ordered FROM k""",
     "forbidden_tokens": "SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) WHERE token IN ('the', 'license', 'que', 'und') GROUP BY ALL",
-    "hashed_denylist": """WITH b AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:3], ' ') AS p FROM benchmark),
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
-s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS p FROM d WHERE len(w) >= 3 UNION SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')))) FROM d WHERE len(w) >= 2 UNION SELECT doc_id, unnest(list_distinct(w)) FROM d)
+    "hashed_denylist": """WITH b AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:item_id % 6 + 1], ' ') AS p FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), z AS (SELECT unnest(range(1, 7)) AS z),
+s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - z + 2), lambda i: array_to_string(w[i:i + z - 1], ' ')))) AS p FROM d, z WHERE len(w) >= z)
 SELECT doc_id, count(DISTINCT p) AS n FROM s SEMI JOIN b USING (p) GROUP BY doc_id""",
     "pattern_hits": "SELECT conv_id, turn, array_to_string(list_filter([" + ", ".join(f"regexp_extract(replace(replace(text, 'the', ' '), 'que', ' '), '{p}')" for p in PATTERNS) + "], lambda x: x <> ''), ',') AS hits FROM conversations",
     "prompt_filled": """WITH p AS (SELECT c_custkey, c_name, c_mktsegment, c_name || ' has ' || floor(c_acctbal)::BIGINT || ' in ' || c_mktsegment AS prompt FROM customer)
@@ -330,8 +329,8 @@ SELECT conv_id, class, n_atoms, n_bytes, round_even(n_atoms / n, 6) AS pct_atoms
     "atom_checks": """WITH a AS (SELECT conv_id, turn, conv_id::VARCHAR || '/' || turn::VARCHAR AS atom_id, role = 'user' AS q FROM conversations), p AS (SELECT atom_id, concat_ws(',', CASE WHEN conv_id % 13 = 0 THEN 'content digest' END,
   CASE WHEN conv_id % 19 <> 7 AND conv_id % 23 = 9 THEN 'reference does not resolve' END, CASE WHEN q AND conv_id % 19 = 7 THEN 'no references' END,
   CASE WHEN q AND conv_id % 19 <> 7 AND conv_id % 23 <> 9 AND conv_id % 17 = 5 THEN 'quotes a redacted segment,not in the kept text' END) AS problems FROM a) SELECT * FROM p WHERE problems <> ''""",
-    "mode_checks": """WITH r AS (SELECT user_id AS doc_id, bool_or(event_id % 5 <> 0 AND event_id % 3 <> 0) AS v, bool_or(event_id % 5 = 0) AS s FROM events WHERE event_id % 40 < 3 GROUP BY user_id)
-SELECT doc_id, 'synthesised document cited' AS problem FROM r WHERE v AND doc_id % 4 = 0 UNION ALL SELECT doc_id, 'mixed modes' FROM r WHERE v AND s""",
+    "mode_checks": """WITH r AS (SELECT user_id AS doc_id, bool_or(value >= 60) AS v, bool_or(value < 1.5) AS s, max(event_id) % 4 = 0 AS m FROM events GROUP BY user_id)
+SELECT doc_id, 'synthesised document cited' AS problem FROM r WHERE v AND m UNION ALL SELECT doc_id, 'mixed modes' FROM r WHERE v AND s""",
     "overlapping_spans": "SELECT a.event_id, count(*) AS n, min(b.event_id) AS first_seg FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'error' AND b.value < a.value + 3 AND b.value + 2 > a.value WHERE a.event_type = 'click' GROUP BY 1",
     "spans_outside": "SELECT event_id FROM events a WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events b WHERE a.user_id = b.user_id AND b.event_type = 'error' AND b.value < a.value + 3 AND b.value + 2 > a.value)",
     "running_positions": "SELECT conv_id, turn AS idx, coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM conversations",
@@ -339,9 +338,9 @@ SELECT doc_id, 'synthesised document cited' AS problem FROM r WHERE v AND doc_id
 SELECT c_nationkey, segment, band, count(*) AS k FROM c GROUP BY ALL HAVING count(*) < 9 AND (c_nationkey IS NOT NULL)::INT + (segment IS NOT NULL)::INT + (band IS NOT NULL)::INT >= 2""",
     "severity_gate": """SELECT count(*) FILTER (value > 100) AS critical, count(*) FILTER (value > 80 AND value <= 100) AS high, count(*) FILTER (value <= 80) AS medium, 1000 AS n_kept,
   count(*) FILTER (value > 100) = 0 AND count(*) FILTER (value > 80 AND value <= 100) <= 0.001 * 1000 AS passed FROM events WHERE event_type = 'error' AND value > 60""",
-    "inconsistent_tokens": """WITH e AS (SELECT user_id % 10 AS scope, user_id::VARCHAR AS o, event_type || ':' || (user_id % 20)::VARCHAR AS t FROM events WHERE event_id % 20 = 0)
+    "inconsistent_tokens": """WITH e AS (SELECT user_id % 10 AS scope, user_id::VARCHAR AS o, CASE WHEN value > 90 THEN event_type ELSE 'usual' END || ':' || (user_id % 200)::VARCHAR AS t FROM events)
 SELECT scope, o AS value, count(DISTINCT t) AS n, 'original' AS side FROM e GROUP BY scope, o HAVING count(DISTINCT t) > 1 UNION ALL SELECT scope, t, count(DISTINCT o), 'token' FROM e GROUP BY scope, t HAVING count(DISTINCT o) > 1""",
-    "entropy_scan": """WITH c AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL)
+    "entropy_scan": """WITH c AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS c FROM documents) GROUP BY ALL)
 SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY doc_id""",
     "near_dup_jaccard": f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark),
 ds AS (SELECT doc_id, {SHINGLES} AS s FROM d), bs AS (SELECT item_id, {SHINGLES} AS s FROM i), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM ds), y AS (SELECT item_id, len(s) AS m, unnest(s) AS g FROM bs),
@@ -352,7 +351,11 @@ SELECT x.division, x.label AS a, y.label AS b, len(list_intersect(x.s, y.s)) / (
     "parsed_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN o_orderdate::DATE::VARCHAR END AS date, CASE WHEN o_orderkey % 6 < 5 THEN strftime(o_orderdate, '%Y-%m') END AS month, CASE WHEN o_orderkey % 6 < 5 THEN (o_orderdate::DATE - 30)::VARCHAR END AS shifted FROM orders",
     "amount_bands": """WITH a AS (SELECT o_orderkey, trunc(o_totalprice) * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1e3 WHEN 2 THEN 1e6 END AS amount FROM orders)
 SELECT o_orderkey, amount, CASE WHEN amount IS NULL THEN 'unparsed' WHEN amount < 1e3 THEN '<1k' WHEN amount < 1e4 THEN '1k-10k' WHEN amount < 1e5 THEN '10k-100k' WHEN amount < 1e6 THEN '100k-1m' WHEN amount < 1e7 THEN '1m-10m' WHEN amount < 1e8 THEN '10m-100m' ELSE '>100m' END AS band FROM a""",
-    "carried_marks": "SELECT doc_id, lower(lpad(hex(doc_id * 7919), 8, '0')) AS tag, 'ZW_SEQ' AS method, true AS stripped FROM documents WHERE doc_id % 5 = 0",
+    "carried_marks": "SELECT doc_id, lower(lpad(hex(doc_id * 7919), 8, '0')) AS tag, 'ZW_SEQ' AS method, true AS stripped FROM documents",
+    "manifest_root": f"""WITH RECURSIVE i AS (SELECT DISTINCT lang, sha256(text) AS id FROM documents),
+l AS (SELECT lang, 0 AS lvl, row_number() OVER (PARTITION BY lang ORDER BY id) - 1 AS p, unhex(sha256({_lp("encode('MANIFEST')")} || {_lp("encode(id)")})) AS h, count(*) OVER (PARTITION BY lang) AS n, count(*) OVER (PARTITION BY lang) AS total FROM i
+UNION ALL SELECT lang, lvl + 1, p // 2, unhex(sha256({_lp("encode('NODE')")} || {_lp("first(h ORDER BY p)")} || {_lp("last(h ORDER BY p)")})), (any_value(n) + 1) // 2, any_value(total) FROM l WHERE n > 1 GROUP BY lang, lvl, p // 2)
+SELECT lang, total AS n, lower(hex(h)) AS root FROM l WHERE n = 1""",
     "sealed_roundtrip": "SELECT c_custkey, c_name AS opened, true AS bound FROM customer",
     "streamed_windows": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY time_bucket(INTERVAL 6 HOUR, ts), event_type",
 }

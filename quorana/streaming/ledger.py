@@ -45,8 +45,16 @@ def chain_state(stream: DataFrame, key: str, position: str, digest: str, told: s
     return stream.groupBy(key).applyInPandasWithState(check, schema, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there and returns the rows of its memory sink."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+def run_once(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream over what is there and returns what it wrote below a shared folder.
+
+    Each batch is a folder of its own, which a repeated batch overwrites; in complete mode the last one is the result.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        at = f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={batch}"
+        rows.write.mode("overwrite").parquet(at)
+
+    query = df.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")

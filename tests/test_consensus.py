@@ -24,15 +24,15 @@ def test_matrix_tiers(rows):
     assert got == {"rates": (2, "MODERATE"), "risk": (0, "WEAK"), "equity": (0, "WEAK")}
 
 
-@pytest.mark.parametrize(("n", "want"), [(4, "WWMMS"), (6, "WWWMMSS"), (5, "WWWMSS"), (1, "WS")])
+@pytest.mark.parametrize(("n", "want"), [(4, "WWMMS"), (6, "WWWMMSS"), (5, "WWWMSS"), (1, "WS"), (0, "W")])
 def test_tier_thresholds(spark, n, want):
     got = spark.range(n + 1).select("id", C.tier(F.col("id"), F.lit(n)).alias("t")).orderBy("id").collect()
     assert "".join(r.t[0] for r in got) == want
 
 
 def test_scalar_vote_ties_and_nulls(spark):
-    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), ("b", None), ("b", None)], "k string, v string")
-    assert {r.k: r.v for r in C.scalar_vote(df, ["k"], "v", "multi", "v").collect()} == {"a": "x", "b": "multi"}
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), ("b", None), ("b", None), ("c", None), ("d", "x"), ("d", None), ("d", None)], "k string, v string")
+    assert {r.k: r.v for r in C.scalar_vote(df, ["k"], "v", "multi", "v").collect()} == {"a": "x", "b": "multi", "c": "multi", "d": "x"}
 
 
 def test_list_vote_needs_more_than_half_and_counts_empty_lists(spark):

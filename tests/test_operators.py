@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def test_recipients_are_told_apart(spark):
     tags = [catalogue.mark_tag(b"salt", "p", r) for r in ("one", "two")]
     df = spark.createDataFrame([(f"a{i}", f"some words of {i} ⟦PERSON:x⟧ text") for i in range(4)], "atom_id string, text string")
     marked = df.withColumn("text", catalogue.marked(F.col("text"), F.col("atom_id"), b"salt", tags[0]))
-    assert [(r.tag, r.n_carriers, r.n_methods, r.winner) for r in catalogue.detected(marked, "text").collect()] == [(f"{tags[0]:08x}", 8, 2, True)]
+    assert [(r.tag, r.n_carriers, r.n_methods, r.winner) for r in catalogue.detected(marked, "text", "atom_id").collect()] == [(f"{tags[0]:08x}", 8, 2, True)]
     assert marked.select(X.strip_marks(F.col("text"))).collect() == df.select("text").collect() and tags[0] != tags[1]
 
 
@@ -157,6 +158,9 @@ def test_ancestors_and_cycles(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x")], "id string, up string")
     got = {(r.child, r.ancestor): r.cycle for r in chain.ancestors(df, "id", "up", 8).collect()}
     assert got[("a", "c")] is False and got[("x", "x")] is True and ("c", "a") not in got
+    chained = spark.createDataFrame([(i, i + 1) for i in range(100)], "id long, up long")
+    assert chain.ancestors(chained, "id", "up").where("child = 0").count() == 100
+    assert chain.ancestors(chained, "id", "up", 8).where("child = 0").count() == 8
 
 
 def test_supersession_and_appends(spark):
@@ -217,9 +221,24 @@ def test_sealed_values_open_only_where_they_belong(spark):
 
 
 def test_files_outside_a_package(spark):
-    df = spark.createDataFrame([("a/vault.json", "x"), ("b.txt", "f" * 64), ("c.txt", "0" * 64), ("d.txt", "plain"), ("e.bin", "LATV1...")], "n string, c string")
-    got = {r.n: r.s for r in df.select("n", residual.suspicious(F.col("n"), F.col("c"), ["0" * 64]).alias("s")).collect()}
-    assert got == {"a/vault.json": ["name"], "b.txt": ["unknown digest"], "c.txt": [], "d.txt": [], "e.bin": ["magic"]}
+    rows = [("a/vault.json", b"{}"), ("b.txt", b"f" * 64), ("c.txt", b"0" * 64), ("d.txt", b"plain"), ("e.bin", b"LATV1..."), ("k.txt", b"e" * 64), ("f.json", b'{"a": [{"nonce": 1}]}'), ("g.json", b'{"a":'), ("h.jsonl", b'{"a": 1}\n\n{"original": 2}'), ("i.bin", bytes(range(256)) * 4), ("j.txt", bytes(range(32)) * 40), ("l.png", b"\x89PNG"), ("m", b"\xff")]
+    df = spark.createDataFrame([(n, bytearray(c)) for n, c in rows], "n string, c binary")
+    got = {r.n: r.s for r in df.select("n", residual.suspicious(F.col("n"), F.col("c"), F.array(F.lit("e" * 64))).alias("s")).collect()}
+    assert got == {"a/vault.json": ["name"], "b.txt": ["unknown digest"], "c.txt": [], "d.txt": [], "e.bin": ["magic"], "k.txt": [], "f.json": ["key nonce"], "g.json": ["no JSON"], "h.jsonl": ["key original"], "i.bin": ["entropy", "no UTF-8"], "j.txt": [], "l.png": ["magic", "no UTF-8"], "m": ["no UTF-8"]}
+
+
+def test_overlapping_terms_and_spans_that_stay():
+    detector = residual.Detector({"CLIENT": ["Acme", "Acme Corp", "Corp North"], "INTERNAL_SYSTEM": ["North"]})
+    assert [(a, b, c) for a, b, c, _ in detector.spans("see acme corp north.")] == [(4, 8, "CLIENT"), (9, 19, "CLIENT")]
+    assert [(a, b) for a, b, *_ in residual._Terms(["Acme", "Acme Corp", "Corp North"]).spans("acme corp north acmes")] == [(0, 9), (0, 4), (5, 15)]
+    rng = random.Random(1)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 6), "X", rng.randint(1, 3)) for a in (rng.randint(0, 25) for _ in range(rng.randint(0, 12)))]
+        stay = []
+        for s in sorted(spans, key=lambda s: (-s[3], s[0] - s[1], s[0])):
+            if all(s[1] <= t[0] or s[0] >= t[1] for t in stay):
+                stay.append(s)
+        assert residual.resolved(spans) == sorted(stay)
 
 
 def test_token_near_a_name(spark):

@@ -104,11 +104,11 @@ def test_streams(spark, tmp_path):
     rows = [(f"k{i % 2}", i, f"2024-01-01 00:{i:02d}:00") for i in range(20)] + [("k0", 3, "2024-01-01 00:03:00")]
     spark.createDataFrame(rows, "k string, i int, t string").withColumn("t", F.col("t").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema("k string, i int, t timestamp").parquet(f"{tmp_path}/in")
-    got = streams.run_once(streams.windowed(stream(), "t", ["k"], "i", "10 minutes"), "w", "complete", f"{tmp_path}/c1").collect()
+    got = streams.run_once(streams.windowed(stream(), "t", ["k"], "i", "10 minutes"), "complete", f"{tmp_path}/c1").collect()
     assert sum(r.n for r in got) == 21 and len(got) == 4
-    once = streams.run_once(streams.deduplicated(stream(), "t", "i"), "d", "append", f"{tmp_path}/c2")
+    once = streams.run_once(streams.deduplicated(stream(), "t", "i"), "append", f"{tmp_path}/c2")
     assert once.count() == 20
-    assert streams.run_once(streams.sessions(stream(), "t", "k", "5 minutes"), "s", "complete", f"{tmp_path}/c3").count() == 2
+    assert streams.run_once(streams.sessions(stream(), "t", "k", "5 minutes"), "complete", f"{tmp_path}/c3").count() == 2
     line = stream().dropDuplicates(["i"]).withColumn("h", F.sha2(F.col("i").cast("string"), 256)).withColumn("told", F.when(F.col("i") < 2, "0" * 64).when(F.col("i") == 7, "bad").otherwise(F.sha2((F.col("i") - 2).cast("string"), 256)))
-    checked = streams.run_once(streams.chain_state(line, "k", "i", "h", "told"), "h", "append", f"{tmp_path}/c4")
+    checked = streams.run_once(streams.chain_state(line, "k", "i", "h", "told"), "append", f"{tmp_path}/c4")
     assert [r.i for r in checked.where("NOT ok").collect()] == [7]
