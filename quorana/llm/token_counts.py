@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorana.llm.columns import free_name
+
 #: Pieces that a worker remembers (each a few dozen bytes); beyond it the memory starts anew.
 REMEMBERED_PIECES = 1_000_000
 NEVER = 1 << 60
@@ -236,10 +238,15 @@ def count_at(table: Column, prefix: Column) -> Column:
     return F.when(prefix * 4 < F.octet_length(table), F.conv(turned, 16, 10).cast("long"))
 
 
+ADDED = ("n_bytes", "n_tokens", "over_limit", "fit_chars")
+
+
 def token_counts(df: DataFrame, vocabulary: str, pattern: str, budget: int = 1024, text: str = "text") -> DataFrame:
-    """Adds n_bytes, n_tokens, over_limit (more than ``budget`` tokens) and fit_chars (code points within it)."""
-    got = df.withColumn("_answers", answers(F.col(text), vocabulary, pattern, budget))
-    return (
-        got.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
-        .withColumn("n_tokens", F.col("_answers.n_tokens")).withColumn("over_limit", F.col("n_tokens") > budget).withColumn("fit_chars", F.col("_answers.fit_chars")).drop("_answers")
-    )
+    """Adds n_bytes, n_tokens, over_limit (more than ``budget`` tokens) and fit_chars (code points within it).
+
+    The columns of ``df`` stay as they are; a new one whose name is taken gets underscores behind it.
+    """
+    told, names = free_name(df, "_answers"), [free_name(df, n) for n in ADDED]
+    got = df.withColumn(told, answers(F.col(text), vocabulary, pattern, budget))
+    counted = F.col(f"{told}.n_tokens")
+    return got.withColumns({names[0]: F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), names[1]: counted, names[2]: counted > budget, names[3]: F.col(f"{told}.fit_chars")}).drop(told)
