@@ -17,6 +17,7 @@ from quorana.functions.text import slug_key
 from quorana.operators import panel_gates as G
 from quorana.operators import runs as R
 from quorana.tables import read
+from quorana.workdir import Scratch
 
 PATTERNS = ("(?i)as an ai", "(?i)my training")
 PROMPT, THRESHOLD = "List divisions of {CURRENCY} desks. Do not rate yourself: as an AI.", 9000.0
@@ -68,7 +69,8 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return R.assessed(records(spark, sf), PATTERNS)
+    """The assessed records, written once per query: each step after it reads the parsed responses."""
+    return Scratch(spark, "samples").write(R.assessed(records(spark, sf), PATTERNS), "samples")
 
 
 def alias_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,13 +81,15 @@ def alias_table(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(~F.col("canon").endswith("4"))
 
 
-def divs(spark: SparkSession, sf: str) -> DataFrame:
-    return R.keyed(R.divisions(samples(spark, sf), THRESHOLD, accents=False), alias_table(spark, sf))
+def divs(spark: SparkSession, sf: str, assessed: DataFrame | None = None) -> DataFrame:
+    """The divisions with their keys, written once per query."""
+    found = R.divisions(samples(spark, sf) if assessed is None else assessed, THRESHOLD, accents=False)
+    return Scratch(spark, "divisions").write(R.keyed(found, alias_table(spark, sf)), "divisions")
 
 
-def stored_samples(spark: SparkSession, sf: str) -> DataFrame:
+def stored_samples(assessed: DataFrame) -> DataFrame:
     """The stored sample table, in which every third sample was marked VALID by hand."""
-    rows = samples(spark, sf).select("model_id", "sample_idx", "sample_status", "reasons")
+    rows = assessed.select("model_id", "sample_idx", "sample_status", "reasons")
     edited = F.col("sample_idx") % 3 == 0
     return rows.withColumn("sample_status", F.when(edited, "VALID").otherwise(F.col("sample_status"))).withColumn("reasons", F.when(edited, F.array().cast("array<string>")).otherwise(F.col("reasons")))
 
@@ -107,11 +111,13 @@ def excluded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return R.matrix(divs(spark, sf), records(spark, sf), excluded(spark, sf))[0]
+    found = samples(spark, sf)
+    return R.matrix(divs(spark, sf, found), found, excluded(spark, sf))[0]
 
 
 def run_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return R.matrix(divs(spark, sf), records(spark, sf), excluded(spark, sf))[1]
+    found = samples(spark, sf)
+    return R.matrix(divs(spark, sf, found), found, excluded(spark, sf))[1]
 
 
 def run_axis_votes(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +134,8 @@ def seat_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """What is expected, and the ledger: most rows checked, some partial, refuted, unsigned or left out."""
-    expected = R.expected_rows(anchor_pool(spark, sf), R.seat_pool(divs(spark, sf), accents=False))
+    found = divs(spark, sf)
+    expected = Scratch(spark, "expected").write(R.expected_rows(R.anchor_pool(found, accents=False), R.seat_pool(found, accents=False)), "expected")
     h = F.conv(F.substr(F.md5("anchor_text"), F.lit(1), F.lit(4)), 16, 10).cast("int")
     status = F.when(h % 17 == 0, "REFUTED").when(h % 13 == 0, "PARTIAL").when(h % 29 == 0, "UNVERIFIED").when(h % 97 == 0, "MAYBE").otherwise("VERIFIED")
     rows = expected.where(h % 31 != 0).withColumn("status", status).withColumn("checked_by", F.when(h % 19 == 1, " ").otherwise("ann"))
@@ -151,24 +158,26 @@ def gate_contamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_schema(spark: SparkSession, sf: str) -> DataFrame:
-    return G.schema(samples(spark, sf), stored_samples(spark, sf))
+    found = samples(spark, sf)
+    return G.schema(found, stored_samples(found))
 
 
 def gate_order(spark: SparkSession, sf: str) -> DataFrame:
-    return G.order(samples(spark, sf), stored_samples(spark, sf))
+    found = samples(spark, sf)
+    return G.order(found, stored_samples(found))
 
 
 def gate_rejection(spark: SparkSession, sf: str) -> DataFrame:
-    return G.rejection(samples(spark, sf), stored_samples(spark, sf))
+    found = samples(spark, sf)
+    return G.rejection(found, stored_samples(found))
 
 
 def gate_admission(spark: SparkSession, sf: str) -> DataFrame:
     """Stored divisions of which some were admitted by hand, some have another value, and some are gone."""
-    d = divs(spark, sf)
-    k = F.col("sample_idx")
+    found = samples(spark, sf)
+    d, k = divs(spark, sf, found), F.col("sample_idx")
     stored = d.where(~((k % 59 == 2) & (F.col("index") == 0))).withColumn("admitted", F.when(k % 17 == 1, True).otherwise(F.col("admitted"))).withColumn("recomputed", F.when(k % 61 == 4, F.col("recomputed") + 1).otherwise(F.col("recomputed")))
-    truth = samples(spark, sf).select("model_id", "sample_idx", "sample_status")
-    return G.admission(d, truth, stored)
+    return G.admission(d, found.select("model_id", "sample_idx", "sample_status"), stored)
 
 
 def gate_corroboration(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,12 +191,13 @@ def gate_aliases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_self_assessment(spark: SparkSession, sf: str) -> DataFrame:
-    return G.self_assessment(samples(spark, sf), stored_samples(spark, sf), prompt_texts(spark, sf), PATTERNS, ALLOWED)
+    found = samples(spark, sf)
+    return G.self_assessment(found, stored_samples(found), prompt_texts(spark, sf), PATTERNS, ALLOWED)
 
 
 def gate_replay(spark: SparkSession, sf: str) -> DataFrame:
     """The stored cells, of which some were raised, one model's were dropped and one was added, against a replay."""
-    again = run_cells(spark, sf)
+    again = Scratch(spark, "replay").write(run_cells(spark, sf), "cells")
     stored = again.where("rater <> 'NATION_7'").withColumn("cell", F.when(F.col("rater").isin("NATION_1", "NATION_2"), F.col("cell") + 0.25).otherwise(F.col("cell")))
     stored = stored.unionByName(again.where("rater = 'NATION_3'").withColumn("rater", F.lit("NOBODY")))
     return G.replay(again, stored)
@@ -195,10 +205,10 @@ def gate_replay(spark: SparkSession, sf: str) -> DataFrame:
 
 def gate_panel(spark: SparkSession, sf: str) -> DataFrame:
     """With a model that has one sample, and exclusions of which one has no reason and one no model."""
-    runs = records(spark, sf)
+    runs = samples(spark, sf)
     lone = runs.where("sample_idx = 1").withColumn("model_id", F.lit("LONE"))
     barred = excluded(spark, sf).unionByName(spark.createDataFrame([("GHOST", "never ran")], "model_id string, reason string"))
-    return G.panel(runs.unionByName(lone), stored_samples(spark, sf), barred)
+    return G.panel(runs.unionByName(lone), stored_samples(runs), barred)
 
 
 QUERIES = {f.__name__: f for f in (
