@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -197,3 +199,33 @@ def money(x: Column) -> Column:
 def utc_timestamp(s: Column) -> Column:
     """An ISO-8601 time; Z and missing zones are UTC; null if it is none."""
     return F.try_to_timestamp(F.regexp_replace(s, "Z$", "+00:00"))
+
+
+# --- fixed values: the prime and the range of the common 32-bit MinHash, its permutations and their seed
+MINHASH_PRIME, MINHASH_RANGE, PERMUTATIONS, MINHASH_SEED = (1 << 61) - 1, (1 << 32) - 1, 64, 1
+
+
+def minhash(shingles: Column, permutations: int = PERMUTATIONS, seed: int = MINHASH_SEED) -> Column:
+    """The MinHash sketch of a set of strings: for each permutation the least hash, all ones for an empty set."""
+
+    @F.pandas_udf("array<long>")
+    def sketch(sets: pd.Series) -> pd.Series:
+        draw = np.random.RandomState(seed)
+        pairs = [(int(draw.randint(1, MINHASH_PRIME, dtype=np.uint64)), int(draw.randint(0, MINHASH_PRIME, dtype=np.uint64))) for _ in range(permutations)]
+        a, b = (np.array(x, dtype=np.uint64) for x in zip(*pairs, strict=True))
+        out = []
+        for words in sets:
+            least = np.full(permutations, MINHASH_RANGE, np.uint64)
+            for w in words if words is not None else ():
+                h = np.uint64(int.from_bytes(hashlib.sha1(w.encode()).digest()[:4], "little"))
+                with np.errstate(over="ignore"):  # products are taken in 64 bits
+                    least = np.minimum(least, ((a * h + b) % np.uint64(MINHASH_PRIME)) & np.uint64(MINHASH_RANGE))
+            out.append(least.astype(np.int64))
+        return pd.Series(out, dtype=object)
+
+    return sketch.asNondeterministic()(shingles)  # evaluated where it stands, not again in filters
+
+
+def sketch_similarity(a: Column, b: Column) -> Column:
+    """The share of places in which two sketches agree, an estimate of the sets' Jaccard similarity."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x) / F.size(a)
