@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorana.llm import decontaminate, line_dedup, mixing, near_dedup, pii, quality, secret_scan, sharding, suffix_dedup, token_counts
+from quorana.llm import decontaminate, line_dedup, mixing, near_dedup, oracles, pii, quality, secret_scan, sharding, suffix_dedup, token_counts
 from quorana.tables import read
 
 
@@ -45,7 +45,7 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return line_dedup.line_report(read(spark, sf, "documents"), min_chars=6, short_lines=True)
+    return line_dedup.line_report(read(spark, sf, "documents"))
 
 
 def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +53,6 @@ def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_mixing": op3_mixing, "op4_decontamination": op4_decontamination, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op7_near_dups": op7_near_dups, "op8_sharding": op8_sharding, "op9_lines": op9_lines, "op10_substrings": op10_substrings}
-SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -61,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return oracles.SQL
