@@ -388,6 +388,7 @@ def repeated_spans(df: DataFrame, id_column: str = "doc_id", text: str = "text")
 
     ordered = wanted.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc", "first").mapInPandas(_order_suffixes, _ORDERED)
     ordered = scratch.write(ordered, "ordered")
+    scratch.drop("contexts")
     one = F.shiftleft(F.col("lo"), 17).bitwiseOR(F.lit(1 << 9))  # a window is a leader's only one, at place 0
     firsts = ordered.where("first").select("key", "context", "doc", "version", one.alias("at"))
     met = firsts.repartition(parts, "key", "context").sortWithinPartitions(*columns).mapInPandas(_settle, _FOUND).where(~F.col("ask"))
