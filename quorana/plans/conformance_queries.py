@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorana.functions import text as X
@@ -12,20 +12,26 @@ from quorana.operators import conformance as C
 from quorana.tables import read
 from quorana.workdir import Scratch
 
-P = F.col("p_partkey")
-KEY = F.concat_ws("/", "p_type", "p_brand")
+
+def _part() -> Column:
+    return F.col("p_partkey")
+
+
+def _key() -> Column:
+    """A part's type and brand as a division."""
+    return F.concat_ws("/", "p_type", "p_brand")
 
 
 def gate_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of parts; a type and brand is admitted in the run now if it has a dear part, in the run then if it has a large one."""
     part = read(spark, sf, "part")
-    urls = F.array(F.lit("https://a.example/1"), F.when(P % 13 == 4, "ftp://b").otherwise("http://b"))
-    before = F.concat_ws("/", "p_type", F.when(P % 5 == 0, F.col("p_brand")).otherwise("Brand#1"))
+    urls = F.array(F.lit("https://a.example/1"), F.when(_part() % 13 == 4, "ftp://b").otherwise("http://b"))
+    before = F.concat_ws("/", "p_type", F.when(_part() % 5 == 0, F.col("p_brand")).otherwise("Brand#1"))
     rows = part.select(
-        P.alias("cell_id"), urls.alias("urls"), F.when(P % 17 != 2, "filing").alias("public_source"), F.concat(F.lit("about "), F.when(P % 11 == 3, "1.2345").otherwise("1.25"), F.lit(" m")).alias("magnitude_band"), F.when(P % 7 == 0, "RETIRED").otherwise("LIVE").alias("status"),
-        KEY.alias("division_key"), F.array(F.struct(F.lit("then").alias("run"), before.alias("division_key"), F.when(P % 3 == 0, "UNADMITTED").when(P % 3 == 1, "ADMITTED").alias("admission_status"))).alias("history"),
+        _part().alias("cell_id"), urls.alias("urls"), F.when(_part() % 17 != 2, "filing").alias("public_source"), F.concat(F.lit("about "), F.when(_part() % 11 == 3, "1.2345").otherwise("1.25"), F.lit(" m")).alias("magnitude_band"), F.when(_part() % 7 == 0, "RETIRED").otherwise("LIVE").alias("status"),
+        _key().alias("division_key"), F.array(F.struct(F.lit("then").alias("run"), before.alias("division_key"), F.when(_part() % 3 == 0, "UNADMITTED").when(_part() % 3 == 1, "ADMITTED").alias("admission_status"))).alias("history"),
     )
-    admitted = part.where("p_retailprice > 1000").select(F.lit("now").alias("run"), KEY.alias("division_key")).unionByName(part.where("p_size > 25").select(F.lit("then").alias("run"), KEY.alias("division_key")))
+    admitted = part.where("p_retailprice > 1000").select(F.lit("now").alias("run"), _key().alias("division_key")).unionByName(part.where("p_size > 25").select(F.lit("then").alias("run"), _key().alias("division_key")))
     return C.cells(rows, admitted, "now")
 
 
@@ -74,8 +80,8 @@ def gate_run_ledger(spark: SparkSession, sf: str) -> DataFrame:
 def gate_concepts(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as released tasks of their brand, in concepts by type; some stand in none, in two, or in another brand's."""
     part = read(spark, sf, "part")
-    released = part.select(P.cast("string").alias("reference_id"), F.col("p_brand").alias("division_key"), F.when(P % 4 == 0, "function").otherwise("task").alias("kind"))
-    held = part.where("p_partkey % 31 <> 5").select(F.concat_ws(":", "p_brand", "p_type").alias("concept_id"), F.when(P % 43 == 6, "Brand#1").otherwise(F.col("p_brand")).alias("division_key"), F.when(P % 4 == 0, "function").otherwise("task").alias("kind"), P.cast("string").alias("reference_id"))
+    released = part.select(_part().cast("string").alias("reference_id"), F.col("p_brand").alias("division_key"), F.when(_part() % 4 == 0, "function").otherwise("task").alias("kind"))
+    held = part.where("p_partkey % 31 <> 5").select(F.concat_ws(":", "p_brand", "p_type").alias("concept_id"), F.when(_part() % 43 == 6, "Brand#1").otherwise(F.col("p_brand")).alias("division_key"), F.when(_part() % 4 == 0, "function").otherwise("task").alias("kind"), _part().cast("string").alias("reference_id"))
     members = held.unionByName(held.where("cast(reference_id as int) % 37 = 1").withColumn("concept_id", F.lit("second")))
     brands = part.select(F.col("p_brand").alias("division_key"), F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("n")).distinct()
     rulings = brands.where("n % 3 <> 0").select("division_key", F.when(F.col("n") % 5 == 1, " ").otherwise("ann").alias("ruled_by"), F.lit("2024-01-01").alias("ruled_at"), F.lit("argued").alias("basis"))
@@ -123,7 +129,7 @@ def archive_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def surface_problems(spark: SparkSession, sf: str) -> DataFrame:
-    part = read(spark, sf, "part").withColumn("division_key", KEY)
+    part = read(spark, sf, "part").withColumn("division_key", _key())
     return C.surface_problems(part.where("p_size < 45"), part.where("p_retailprice > 950"), part.where("p_partkey % 3 <> 0"))
 
 

@@ -6,7 +6,7 @@ redacted. Some packages have other texts, roots, commitments or classes than the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorana.functions import codes
@@ -19,7 +19,11 @@ from quorana.tables import read
 from quorana.workdir import Scratch
 
 CLASSES = ("PERSON", "CLIENT")
-K = F.col("k")
+
+
+def _number_of() -> Column:
+    """The document's number."""
+    return F.col("k")
 
 
 def originals(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,22 +32,22 @@ def originals(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("k"), "lang", "source", t.alias("t"))
     h = F.floor(F.length("t") / 2).cast("int")
     rows = rows.withColumn("id", F.sha2("t", 256)).withColumn("a", F.substr("t", F.lit(1), h)).withColumn("b", F.substr("t", h + 1, F.lit(10))).withColumn("c", F.substr("t", h + 11))
-    rows = rows.withColumn("la", F.octet_length("a")).withColumn("lb", F.octet_length("b")).withColumn("n", F.octet_length("t")).withColumn("class", F.when(K % 23 == 5, "ALIEN").when(K % 2 == 0, "PERSON").otherwise("CLIENT"))
-    rows = rows.withColumn("token", F.concat(F.lit("⟦"), "class", F.lit(":tok"), (K % 50).cast("string"), F.lit("⟧"))).withColumn("nonce", F.unhex(F.sha2(F.concat(F.lit("n"), K.cast("string")), 256)))
+    rows = rows.withColumn("la", F.octet_length("a")).withColumn("lb", F.octet_length("b")).withColumn("n", F.octet_length("t")).withColumn("class", F.when(_number_of() % 23 == 5, "ALIEN").when(_number_of() % 2 == 0, "PERSON").otherwise("CLIENT"))
+    rows = rows.withColumn("token", F.concat(F.lit("⟦"), "class", F.lit(":tok"), (_number_of() % 50).cast("string"), F.lit("⟧"))).withColumn("nonce", F.unhex(F.sha2(F.concat(F.lit("n"), _number_of().cast("string")), 256)))
     rows = rows.withColumn("commit", F.lower(F.hex(codes.commitment(F.col("id"), F.lit(1), F.col("la"), F.col("la") + F.col("lb"), F.col("class"), F.col("b"), F.col("nonce")))))
     none = F.lit(None).cast("string")
     seg = lambda i, a, b, kind, c, tok, com: F.struct(F.lit(i).alias("idx"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(kind).alias("kind"), c.alias("class"), tok.alias("token"), com.alias("commit"))
     cut, upto = F.length("t") >= 30, F.col("la") + F.col("lb")
     three = F.array(seg(0, F.lit(0), F.col("la"), "KEEP", none, none, none), seg(1, F.col("la"), upto, "REDACT", F.col("class"), F.col("token"), F.col("commit")), seg(2, upto, F.col("n"), "KEEP", none, none, none))
     rows = rows.withColumn("segs", F.when(cut, three).otherwise(F.array(seg(0, F.lit(0), F.col("n"), "KEEP", none, none, none)))).withColumn("redacted", F.when(cut, F.concat("a", "token", "c")).otherwise(F.col("t")))
-    rows = rows.withColumn("root", P.rebuilt_root(F.col("id"), F.col("segs"), P.rebuilt(F.col("redacted"), F.col("segs")))).withColumn("mode", F.when(K % 31 == 7, "SYNTHESISE").otherwise("REDACT"))
+    rows = rows.withColumn("root", P.rebuilt_root(F.col("id"), F.col("segs"), P.rebuilt(F.col("redacted"), F.col("segs")))).withColumn("mode", F.when(_number_of() % 31 == 7, "SYNTHESISE").otherwise("REDACT"))
     return Scratch(spark, "package").write(rows.select("k", "lang", "source", F.col("id").alias("doc_id"), "mode", "redacted", "root", "segs", "b", "class", "token", cut.alias("cut")), "docs")
 
 
 def spoilt(rows: DataFrame) -> DataFrame:
     """The package as shipped."""
-    segs = F.transform("segs", lambda s: s.withField("commit", F.when(s["commit"].isNotNull() & (K % 19 == 4), F.sha2(F.lit("x"), 256)).otherwise(s["commit"])))
-    return rows.withColumn("redacted", F.when(K % 13 == 2, F.concat("redacted", F.lit("!"))).otherwise(F.col("redacted"))).withColumn("root", F.when(K % 17 == 3, F.sha2(F.lit("y"), 256)).otherwise(F.col("root"))).withColumn("segs", segs)
+    segs = F.transform("segs", lambda s: s.withField("commit", F.when(s["commit"].isNotNull() & (_number_of() % 19 == 4), F.sha2(F.lit("x"), 256)).otherwise(s["commit"])))
+    return rows.withColumn("redacted", F.when(_number_of() % 13 == 2, F.concat("redacted", F.lit("!"))).otherwise(F.col("redacted"))).withColumn("root", F.when(_number_of() % 17 == 3, F.sha2(F.lit("y"), 256)).otherwise(F.col("root"))).withColumn("segs", segs)
 
 
 def manifest(rows: DataFrame) -> DataFrame:
@@ -99,7 +103,7 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _files(rows: DataFrame) -> DataFrame:
-    return rows.select(F.concat(F.lit("redacted/"), K.cast("string")).alias("path"), F.when(K % 97 == 5, F.concat("redacted", F.lit(" see item-"), (K % 7).cast("string"), F.lit("."))).otherwise(F.col("redacted")).alias("content"))
+    return rows.select(F.concat(F.lit("redacted/"), _number_of().cast("string")).alias("path"), F.when(_number_of() % 97 == 5, F.concat("redacted", F.lit(" see item-"), (_number_of() % 7).cast("string"), F.lit("."))).otherwise(F.col("redacted")).alias("content"))
 
 
 def _episodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,9 +127,9 @@ def gate_leakage(spark: SparkSession, sf: str) -> DataFrame:
 
 def check_files(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").where("text IS NOT NULL").withColumnRenamed("doc_id", "k")
-    path = F.when(K % 9 == 0, F.concat(F.lit("keys/vault"), K.cast("string"), F.lit(".json"))).otherwise(F.concat(F.lit("d/"), K.cast("string"), F.lit(".txt")))
-    content = F.when(K % 5 == 0, F.sha2(F.concat("text", K.cast("string")), 256)).when(K % 6 == 0, '{"original": 1}').otherwise("plain")
-    known = docs.where("k % 10 = 0").select(F.sha2(F.concat("text", K.cast("string")), 256).alias("digest"))
+    path = F.when(_number_of() % 9 == 0, F.concat(F.lit("keys/vault"), _number_of().cast("string"), F.lit(".json"))).otherwise(F.concat(F.lit("d/"), _number_of().cast("string"), F.lit(".txt")))
+    content = F.when(_number_of() % 5 == 0, F.sha2(F.concat("text", _number_of().cast("string")), 256)).when(_number_of() % 6 == 0, '{"original": 1}').otherwise("plain")
+    known = docs.where("k % 10 = 0").select(F.sha2(F.concat("text", _number_of().cast("string")), 256).alias("digest"))
     return P.check_files(docs.select(path.alias("path"), content.cast("binary").alias("content")), known)
 
 
@@ -164,8 +168,8 @@ def gate_holdout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _entries(rows: DataFrame) -> DataFrame:
-    shipped = F.when(K % 43 == 1, F.concat("token", F.lit("z"))).otherwise(F.col("token"))
-    return rows.where("cut").select("doc_id", F.lit(1).alias("idx"), F.when(K % 8 == 0, "DATE").otherwise(F.col("class")).alias("class"), F.col("b").alias("original"), F.col("token").alias("expected"), shipped.alias("shipped"))
+    shipped = F.when(_number_of() % 43 == 1, F.concat("token", F.lit("z"))).otherwise(F.col("token"))
+    return rows.where("cut").select("doc_id", F.lit(1).alias("idx"), F.when(_number_of() % 8 == 0, "DATE").otherwise(F.col("class")).alias("class"), F.col("b").alias("original"), F.col("token").alias("expected"), shipped.alias("shipped"))
 
 
 def check_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +178,7 @@ def check_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
 
 def check_originals(spark: SparkSession, sf: str) -> DataFrame:
     rows = originals(spark, sf)
-    vault = rows.where("cut AND k % 59 <> 2").select("doc_id", F.lit(1).alias("idx"), F.when(K % 53 == 3, "forged").otherwise(F.col("b")).alias("original"))
+    vault = rows.where("cut AND k % 59 <> 2").select("doc_id", F.lit(1).alias("idx"), F.when(_number_of() % 53 == 3, "forged").otherwise(F.col("b")).alias("original"))
     return P.check_originals(rows, vault, manifest(rows).select("doc_id"))
 
 

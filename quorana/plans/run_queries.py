@@ -22,7 +22,11 @@ from quorana.workdir import Scratch
 PATTERNS = ("(?i)as an ai", "(?i)my training")
 PROMPT, THRESHOLD = "List divisions of {CURRENCY} desks. Do not rate yourself: as an AI.", 9000.0
 ALLOWED = ("as an AI",)
-K = F.col("o_orderkey")
+
+
+def _order() -> Column:
+    """The order that a sample is."""
+    return F.col("o_orderkey")
 
 
 def _division() -> Column:
@@ -53,17 +57,17 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     per = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["d"]).alias("divisions"))
     kind = dict(per.dtypes)["divisions"]
     o = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    note = F.when(K % 37 == 0, "as an AI I cannot").otherwise("")
-    rejected = F.when(K % 23 == 0, F.array().cast("array<struct<name: string, reason_codes: array<string>, note: string>>")).otherwise(F.array(F.struct(F.lit("x").alias("name"), F.array(F.lit("R_ANCHORS_LT2")).alias("reason_codes"), note.alias("note"))))
+    note = F.when(_order() % 37 == 0, "as an AI I cannot").otherwise("")
+    rejected = F.when(_order() % 23 == 0, F.array().cast("array<struct<name: string, reason_codes: array<string>, note: string>>")).otherwise(F.array(F.struct(F.lit("x").alias("name"), F.array(F.lit("R_ANCHORS_LT2")).alias("reason_codes"), note.alias("note"))))
     text = F.to_json(F.struct(F.coalesce("divisions", F.array().cast(kind)).alias("divisions"), rejected.alias("rejected")), {"ignoreNullFields": "false"})
     faulty = (
-        F.when(K % 41 == 0, F.lit(None)).when(K % 29 == 0, F.substr(text, F.lit(1), F.lit(60))).when(K % 31 == 0, F.replace(text, F.lit('"a1_regulatory"'), F.lit('"b1_regulatory"')))
-        .when(K % 47 == 0, F.replace(text, F.lit('"cost_per_seat"'), F.lit('"cost"'))).otherwise(text)
+        F.when(_order() % 41 == 0, F.lit(None)).when(_order() % 29 == 0, F.substr(text, F.lit(1), F.lit(60))).when(_order() % 31 == 0, F.replace(text, F.lit('"a1_regulatory"'), F.lit('"b1_regulatory"')))
+        .when(_order() % 47 == 0, F.replace(text, F.lit('"cost_per_seat"'), F.lit('"cost"'))).otherwise(text)
     )
-    got = o.join(per, K == F.col("l_orderkey"), "left").select(
-        F.col("n_name").alias("model_id"), F.concat(F.lit("V"), F.col("n_regionkey").cast("string")).alias("vendor"), K.alias("sample_idx"), F.when(K % 41 == 0, "ERROR").otherwise("OK").alias("status"), faulty.alias("response_raw"),
-        F.when(K % 19 == 3, F.lit("other")).otherwise(F.sha2(F.lit(PROMPT), 256)).alias("prompt_sha256"), F.create_map(F.lit("temperature"), F.lit(0.0), F.lit("top_p"), F.lit(1.0), F.lit("max_tokens"), F.lit(64.0), F.when(K % 67 == 5, "salt").otherwise("seed"), F.lit(7.0)).alias("params"),
-        F.struct(F.lit(False).alias("tools"), (K % 71 == 9).alias("browsing"), F.lit(False).alias("retrieval"), F.when(K % 73 != 11, F.lit(0)).alias("prior_turns"), F.lit(True).alias("provider_cold_guarantee")).alias("cold"),
+    got = o.join(per, _order() == F.col("l_orderkey"), "left").select(
+        F.col("n_name").alias("model_id"), F.concat(F.lit("V"), F.col("n_regionkey").cast("string")).alias("vendor"), _order().alias("sample_idx"), F.when(_order() % 41 == 0, "ERROR").otherwise("OK").alias("status"), faulty.alias("response_raw"),
+        F.when(_order() % 19 == 3, F.lit("other")).otherwise(F.sha2(F.lit(PROMPT), 256)).alias("prompt_sha256"), F.create_map(F.lit("temperature"), F.lit(0.0), F.lit("top_p"), F.lit(1.0), F.lit("max_tokens"), F.lit(64.0), F.when(_order() % 67 == 5, "salt").otherwise("seed"), F.lit(7.0)).alias("params"),
+        F.struct(F.lit(False).alias("tools"), (_order() % 71 == 9).alias("browsing"), F.lit(False).alias("retrieval"), F.when(_order() % 73 != 11, F.lit(0)).alias("prior_turns"), F.lit(True).alias("provider_cold_guarantee")).alias("cold"),
     )
     return got.withColumn("response_sha256", F.when(F.col("sample_idx") % 43 == 0, F.sha2(F.concat("response_raw", F.lit(" ")), 256)).otherwise(F.sha2("response_raw", 256)))
 

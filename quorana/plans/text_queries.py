@@ -9,8 +9,6 @@ from quorana.functions import codes, values
 from quorana.functions import text as X
 from quorana.operators import catalogue, lineage, redaction, residual, similarity
 from quorana.operators import validate as V
-from quorana.plans import gates
-from quorana.plans.ledger_queries import hash_chain_broken, ledger_dangling, ledger_problems
 from quorana.streaming import ledger as streams
 from quorana.tables import read
 from quorana.workdir import Scratch
@@ -245,19 +243,6 @@ def sealed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_custkey", codes.opened(F.col("s"), key, F.col("c_mktsegment")).cast("string").alias("opened"), codes.opened(F.col("s"), key, F.lit("other")).isNull().alias("bound"))
 
 
-def gate_report(spark: SparkSession, sf: str) -> DataFrame:
-    found = gates.report(spark, {
-        "integrity": lambda: gates.violations(integrity_check(spark, sf).where("NOT intact"), "doc_id"),
-        "chain": lambda: gates.violations(hash_chain_broken(spark, sf), "event_id"),
-        "corrections": lambda: gates.violations(ledger_dangling(spark, sf), "event_id"),
-        "ledger": lambda: gates.violations(ledger_problems(spark, sf), "anchor_text"),
-        "cover": lambda: gates.violations(segment_cover(spark, sf), "doc_id"),
-        "duplicates": lambda: gates.violations(content_duplicates(spark, sf).where("n > 1000000"), "content_id"),
-        "crash": lambda: gates.violations(read(spark, sf, "no_such_table"), "x"),
-    })
-    return found.select("gate", "status", "n_violations")
-
-
 def streamed_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly counts of a stream over the events, complete at its end."""
     scratch = Scratch(spark, "stream")
@@ -271,7 +256,7 @@ def streamed_windows(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     canon_names, content_duplicates, integrity_check, parsed_props, schema_errors, key_order, forbidden_tokens, hashed_denylist, pattern_hits, prompt_filled, identifier_counts, detected_spans, redacted_segments, segment_cover, keep_leaves,
     merkle_by_source, manifest_root, lineage_ratios, episode_summaries, atom_checks, mode_checks, overlapping_spans, spans_outside, running_positions, k_anonymity, severity_gate, inconsistent_tokens, entropy_scan, near_dup_jaccard,
-    leakage_substring, label_pairs, concept_clusters, parsed_dates, amount_bands, carried_marks, marked_recipients, sealed_roundtrip, gate_report, streamed_windows,
+    leakage_substring, label_pairs, concept_clusters, parsed_dates, amount_bands, carried_marks, marked_recipients, sealed_roundtrip, streamed_windows,
 )}
 
 EXCEPTIONS = ", ".join(f"'{w}'" for w in X.SINGULAR_EXCEPTIONS)
