@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorana.plans import conformance_queries, consensus_queries, context_queries, ledger_queries, named_gates, package_queries, redaction_queries, run_queries, text_queries
+from quorana.plans import conformance_queries, consensus_queries, context_queries, ledger_queries, named_gates, observatory_queries, package_queries, redaction_queries, run_queries, text_queries
 
-MODULES = (consensus_queries, ledger_queries, text_queries, context_queries, redaction_queries, run_queries, package_queries, conformance_queries, named_gates)
+MODULES = (consensus_queries, ledger_queries, text_queries, context_queries, redaction_queries, run_queries, package_queries, conformance_queries, observatory_queries, named_gates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
