@@ -9,8 +9,8 @@ are removed and those from GENERALISE_AT on generalised to their class. Estimate
 with SUPPORT or more different texts in which term and entity meet, so that a word which
 occurs once is not taken for a sign. An entity of fewer texts than that has no estimate of
 its own; there the terms that disclose its group count: the domain of an address, the network
-of an IP address, the issuer of a card, the area of a phone number. Only entities whose group
-is as rare have none.
+of an IP address, the issuer of a card, the area of a phone number; or, where the group is as
+rare, those that disclose its kind. Only kinds in fewer texts than that have none.
 
 A term that is too frequent to reach the threshold for an entity, whatever they share, does
 not meet it; texts with very many entities are worked off in blocks.
@@ -89,29 +89,27 @@ def terms(text: Column) -> Column:
 
 
 def _named(e: Column) -> Column:
-    """struct(entity, group) of an entity; a group's name ends in a star, which no entity's does."""
+    """struct(entity, group, kind) of an entity; the names of groups and kinds end in a star, which no entity's does."""
     value, kind = e["value"], e["kind"]
     part = (
         F.when(kind == "email", F.regexp_extract(value, "@.*$", 0)).when(kind == "ip", F.regexp_extract(value, r"^[0-9]+\.[0-9]+", 0))
         .when(kind == "card", F.substr(value, F.lit(1), F.lit(6))).otherwise(F.substr(value, F.lit(1), F.lit(4)))
     )
-    return F.struct(F.concat_ws(":", kind, value).alias("entity"), F.concat_ws(":", kind, part, F.lit("*")).alias("group"))
+    return F.struct(F.concat_ws(":", kind, value).alias("entity"), F.concat_ws(":", kind, part, F.lit("*")).alias("group"), F.concat_ws(":", kind, F.lit("*")).alias("kind"))
 
 
 def _units(holders: DataFrame, support: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """What is estimated, (text_key, copies, unit, n_e), and what each text's entities are judged by, (text_key, unit)."""
     named = scratch.write(holders.select("text_key", "copies", F.explode(F.array_distinct(F.transform(entities(F.col("text")), _named))).alias("e")).select("text_key", "copies", "e.*"), "named")
-    of = named.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts"), F.first("group").alias("group"))
-    of = scratch.write(of, "entities")
-    known = of.where(F.col("texts") >= support).select(F.col("entity").alias("unit"), "n_e")
-    rare = of.where(F.col("texts") < support)
-    grouped = named.select("text_key", "copies", F.col("group").alias("unit")).distinct().join(rare.select(F.col("group").alias("unit")).distinct(), "unit")
-    grouped = scratch.write(grouped, "grouped")
-    known = known.unionByName(grouped.groupBy("unit").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"))
+    levels = scratch.write(named.select("text_key", "copies", F.explode(F.array("entity", "group", "kind")).alias("unit")).distinct(), "levels")
+    known = levels.groupBy("unit").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
     known = scratch.write(known, "known")
-    held = named.select("text_key", "copies", F.col("entity").alias("unit")).unionByName(grouped.select("text_key", "copies", "unit"))
-    judged = named.select("text_key", "entity").join(of.select("entity", F.when(F.col("texts") >= support, F.col("entity")).otherwise(F.col("group")).alias("unit")), "entity").select("text_key", "unit").distinct()
-    return scratch.write(held.join(known, "unit"), "held"), judged
+    own, grouped = known.select(F.col("unit").alias("entity"), F.lit(True).alias("own")), known.select(F.col("unit").alias("group"), F.lit(True).alias("grouped"))
+    told = named.select("entity", "group", "kind").distinct().join(own, "entity", "left").join(grouped, "group", "left")
+    told = told.select("entity", F.when(F.col("own"), F.col("entity")).when(F.col("grouped"), F.col("group")).otherwise(F.col("kind")).alias("unit"))
+    judged = scratch.write(named.select("text_key", "entity").join(told, "entity").select("text_key", "unit").distinct(), "judged")
+    asked = judged.select("unit").distinct().join(known, "unit")
+    return scratch.write(levels.join(asked, "unit"), "held"), judged
 
 
 def disclosure(df: DataFrame, text: str = "text", support: int = SUPPORT, least: float = GENERALISE_AT) -> DataFrame:

@@ -67,13 +67,13 @@ def brute_disclosure(texts):
     n, distinct = len(texts), sorted({t for t in texts if t})
     told = lambda t: {x for w in re.findall(r"[^\x20\x09-\x0D]+", t) if len(x := re.sub(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "", w.lower())) >= 3}
     entities = {t: {(k, v) for *_, k, v in brute(t)} for t in distinct}
-    groups = {t: {(k, group(k, v), "*") for k, v in e} for t, e in entities.items()}
+    groups = {t: {(k, group(k, v), "*") for k, v in e} | {(k, "*") for k, _ in e} for t, e in entities.items()}
     terms = {t: told(t) for t in distinct}
     holders = lambda unit: [t for t in distinct if unit in entities[t] or unit in groups[t]]
     out = {}
     for t in distinct:
         for k, v in entities[t]:
-            unit = (k, v) if len(holders((k, v))) >= pii.SUPPORT else (k, group(k, v), "*")
+            unit = next((u for u in ((k, v), (k, group(k, v), "*")) if len(holders(u)) >= pii.SUPPORT), (k, "*"))
             mine = holders(unit)
             n_e = sum(texts.count(x) for x in mine)
             if len(mine) < pii.SUPPORT or n_e >= n:
