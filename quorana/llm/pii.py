@@ -140,7 +140,8 @@ def disclosure(df: DataFrame, text: str = "text", support: int = SUPPORT, least:
     gain = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     degree = F.when(F.col("n_e") < n, gain / F.log(F.lit(float(n)) / F.col("n_e")))
     telling = scratch.write(met.withColumn("degree", F.least(degree, F.lit(1.0))).where(F.col("degree") >= least).select("unit", "term", "degree"), "telling")
-    told = judged.join(telling, "unit").join(worded.select("text_key", "term"), ["text_key", "term"])
+    # by term first: a unit may have as many texts as it has telling terms
+    told = worded.select("text_key", "term").join(telling, "term").join(judged, ["text_key", "unit"], "left_semi")
     best = told.groupBy("text_key", "term").agg(F.max("degree").alias("degree"))
     return scratch.write(best.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "degree"))).alias("terms")), "per_text")
 
