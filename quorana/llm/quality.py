@@ -28,7 +28,7 @@ WINDOW, SYMBOLS = 5, "[#*$%&|<>]"
 #: Rows, on average, on which cost and selectivity are estimated. The estimate orders the rules and decides nothing else.
 SAMPLE_ROWS = 1000
 #: How often a rule is applied to each row of the sample, so that its seconds stand out from a job's, and how often that is timed.
-APPLIED, TIMED = 8, 3
+APPLIED, TIMED = 4, 2
 
 
 def _grams(w: Column) -> Column:
