@@ -50,25 +50,28 @@ def version_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def ancestors(nodes: DataFrame, child: str, parent: str, depth: int | None = None) -> DataFrame:
     """(child, ancestor, depth, cycle) along parent pointers, up to ``depth`` steps if it is given.
 
-    Doubling: each round joins paths with paths and writes them, so chains of n steps take log2(n)
-    rounds; it ends with the round that finds nothing new. A path that returns to its start is a cycle.
+    Doubling: each round lengthens the paths that are as long as any can be so far, and only those, by
+    all paths from where they end, so chains of n steps take log2(n) rounds and a path is not put
+    together from each of its pairs of parts; it ends when none is that long. Many paths end in few
+    places: what goes on from there is its own table, which Spark may find small enough to broadcast.
+    A path that returns to its start is a cycle.
     """
     scratch = Scratch(nodes.sparkSession, "ancestors")
     paths = nodes.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    paths = scratch.write(paths, "paths0")
-    reach, before = 1, paths.count()
-    while depth is None or reach < depth:
-        tail = paths.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("depth").alias("_more"))
-        longer = paths.where("child != ancestor").join(tail, "ancestor").select("child", F.col("_next").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
-        both = paths.unionByName(longer)
-        both = both if depth is None else both.where(F.col("depth") <= depth)
-        paths = scratch.write(both.groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), f"paths{2 * reach}")
-        scratch.drop(f"paths{reach}" if reach > 1 else "paths0")
+    paths, told = scratch.counted(paths, "paths1", longest=F.count(F.lit(1)))
+    reach = 1
+    while told["longest"] and (depth is None or reach < depth):
+        on = paths.where("child != ancestor")
+        ends = on.where(F.col("depth") == reach)
+        met = scratch.write(ends.select(F.col("ancestor").alias("child")).distinct(), f"met{reach}")
+        tails = scratch.write(on.join(met, "child", "left_semi").select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("depth").alias("_more")), f"tails{reach}")
+        longer = ends.join(tails, "ancestor").select("child", F.col("_next").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        both = paths.unionByName(longer if depth is None else longer.where(F.col("depth") <= depth))
+        shortest = both.groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+        paths, told = scratch.counted(shortest, f"paths{2 * reach}", longest=F.count(F.when(F.col("depth") == 2 * reach, 1)))
+        for name in ("paths", "met", "tails"):
+            scratch.drop(f"{name}{reach}")
         reach *= 2
-        now = paths.count()
-        if now == before:
-            break
-        before = now
     return paths.withColumn("cycle", F.col("child") == F.col("ancestor"))
 
 
