@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorana.workdir import Scratch
+from quorana.workdir import MOST_ROWS, Scratch, merged_if
 
 
 def as_edges(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,14 +27,16 @@ class Stars:
     def __init__(self, links: DataFrame, a: str = "a", b: str = "b"):
         self.scratch = Scratch(links.sparkSession, "components")
         self.round, self.pending = 0, True
-        self.edges = self._written("e0", as_edges(links, a, b))["table"]
+        first = self._written("e0", as_edges(links, a, b))
+        #: how many links there are
+        self.edges, self.n = first["table"], first["n"]
 
     def _written(self, name: str, df: DataFrame, **counts: Column) -> dict:
         """The table as read back and, from the same job, its count and further ones."""
         table, counted = self.scratch.counted(df, name, n=F.count(F.lit(1)), **counts)
         if name.startswith("e"):
             self.pending = counted["n"] > 0
-        return {"table": table, **counted}
+        return {"table": merged_if(counted["n"] > MOST_ROWS, table), **counted}
 
     def contract(self) -> None:
         """One round; ``pending`` is false once a round has nothing left to change."""
@@ -42,7 +44,7 @@ class Stars:
         k, edges = self.round, self.edges
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("x")).alias("moved"))
+        large = both.where("y > x").join(merged_if(self.n > MOST_ROWS, least), "x").select(F.col("y").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("x")).alias("moved"))
         large = self._written(f"large{k}", large, moved=F.count(F.when(F.col("moved"), 1)))
         links = large["table"].select("u", "v")
         least = links.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("far"))
@@ -52,9 +54,10 @@ class Stars:
         if least["apart"]:
             several = least["table"].where("m != far")
             moved = links.join(several, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            self.edges = self._written(f"e{k}", moved.unionByName(least["table"].select("u", F.col("m").alias("v"))))["table"]
+            found = self._written(f"e{k}", moved.unionByName(least["table"].select("u", F.col("m").alias("v"))))
+            self.edges, self.n = found["table"], found["n"]
         else:
-            self.edges = least["table"].select("u", F.col("m").alias("v"))
+            self.edges, self.n = least["table"].select("u", F.col("m").alias("v")), least["n"]
             self.pending = large["moved"] > 0
 
     def finish(self) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quorana.llm.batches import document_batches
 from quorana.llm.columns import WORD, free_name
 from quorana.llm.components import Stars
-from quorana.workdir import Scratch
+from quorana.workdir import MOST_ROWS, Scratch, merged_if
 
 SHINGLE, COMPONENTS = 5, 128
 #: The chance that a pair at the threshold shares no band stays below this.
@@ -234,12 +234,12 @@ class _Search:
         self.sketched = self.scratch.write(got.select("id", F.col("s.n").alias("n"), F.col("s.set_key").alias("set_key"), F.col("s.bands").alias("bands")), "sketched")
         one = self.sketched.where(F.col("set_key").isNotNull()).groupBy("set_key")
         self.classes = self.scratch.write(one.agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("bands").alias("bands")), "classes")
-        members = self.classes.select("id", F.explode("bands").alias("bucket"))
+        members = self.classes.select("id", F.explode("bands").alias("bucket")).hint("merge")  # many more rows than the files show
         buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
-        joined = members.join(self.scratch.write(buckets, "buckets"), "bucket")
+        joined = members.join(self.scratch.joinable(buckets, "buckets"), "bucket")
         #: one row per class that shares a bucket: its buckets, and how many classes it meets there
         self.members = self.scratch.write(joined.groupBy("id").agg(F.sum("size").alias("meets"), F.collect_list(F.struct("bucket", "size", "least")).alias("at")), "members")
-        asked = self.scratch.write(self.members.select("id"), "asked")  # its own narrow table, which Spark may find small enough to broadcast
+        asked = self.scratch.joinable(self.members.select("id"), "asked")  # its own narrow table, which Spark may find small enough to broadcast
         found = self.docs.where(F.col("text").isNotNull()).join(asked, "id", "left_semi")
         self.sets = self.scratch.write(found.select("id", shingle_sets(F.col("text")).alias("set")), "sets")
 
@@ -259,9 +259,9 @@ class _Search:
         """
         at = self.members.select("id", "meets", F.explode("at").alias("m")).select("id", "meets", "m.*")
         central = at.where("id != least").groupBy("bucket").agg(F.max(F.struct("meets", F.bitwise_not("id").alias("mirrored"))).alias("top"))
-        central = self.scratch.write(central.select("bucket", F.bitwise_not("top.mirrored").alias("central")), "central")
+        central = self.scratch.joinable(central.select("bucket", F.bitwise_not("top.mirrored").alias("central")), "central")
         rows = at.join(central, "bucket").select("id", F.explode(F.array("least", "central")).alias("hub")).where("id != hub")
-        pairs = self.scratch.write(rows.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs-hubs")
+        pairs = self.scratch.joinable(rows.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs-hubs")
         return self.verified(pairs, "hubs")
 
     def open_classes(self, merged: DataFrame) -> tuple[DataFrame, int]:
@@ -272,8 +272,8 @@ class _Search:
         at = self.members.select("id", "at").join(merged.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.explode("at").alias("m"))
         at = at.where("m.size > 3").select("id", "root", F.col("m.bucket").alias("bucket"))
         apart = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-        found, counted = self.scratch.counted(at.join(self.scratch.write(apart, "apart"), "bucket").select("id", "root").distinct(), "open", n=F.count(F.lit(1)))
-        return found, counted["n"]
+        found, counted = self.scratch.counted(at.join(self.scratch.joinable(apart, "apart"), "bucket").select("id", "root").distinct(), "open", n=F.count(F.lit(1)))
+        return merged_if(counted["n"] > MOST_ROWS, found), counted["n"]
 
     def prefix_links(self, rest: DataFrame) -> DataFrame:
         """All links between the roots of the open classes.
@@ -285,15 +285,15 @@ class _Search:
         rows = self.sets.join(rest, "id").withColumn("own", F.xxhash64("id", "set")).select("own", "id", "root", "set")
         tokens = self.scratch.write(rows.mapInPandas(_tokens(self.percent), "own long, id long, root long, n long, prefix long, token long"), "tokens")
         often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        often = self.scratch.write(often.select("token", "often", (F.col("lo") != F.col("hi")).alias("meets")), "often")
+        often = self.scratch.joinable(often.select("token", "often", (F.col("lo") != F.col("hi")).alias("meets")), "often")
         ordered = tokens.join(often, "token").groupBy("own").agg(*[F.first(c).alias(c) for c in ("id", "root", "n", "prefix")], F.sort_array(F.collect_list(F.struct("often", "token", "meets"))).alias("all"))
         first = ordered.select("id", "root", "n", F.posexplode(F.slice("all", F.lit(1), F.col("prefix").cast("int"))).alias("place", "t")).where("t.meets")
-        first = self.scratch.write(first.select("id", "root", "n", (F.col("n") - F.col("place")).alias("left"), F.col("t.token").alias("token")), "prefixes")
+        first = self.scratch.joinable(first.select("id", "root", "n", (F.col("n") - F.col("place")).alias("left"), F.col("t.token").alias("token")), "prefixes")
         side = lambda s: first.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "left")])
         pairs = side("a").join(side("b"), "token").where("id_a < id_b AND root_a != root_b")
         pairs = pairs.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         pairs = pairs.where((100 + self.percent) * F.least("left_a", "left_b") >= self.percent * (F.col("n_a") + F.col("n_b")))
-        pairs = self.scratch.write(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs-rest")
+        pairs = self.scratch.joinable(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs-rest")
         return self.verified(pairs, "rest")
 
     def same_document(self) -> DataFrame | None:
@@ -303,7 +303,7 @@ class _Search:
         twice, counted = self.scratch.counted(twice, "twice", n=F.count(F.lit(1)))
         if not counted["n"]:
             return None
-        return named.join(twice, "b").join(self.classes.select("set_key", F.col("id").alias("a")), "set_key").select("a", "b")
+        return named.join(merged_if(counted["n"] > MOST_ROWS, twice), "b").join(self.classes.select("set_key", F.col("id").alias("a")), "set_key").select("a", "b")
 
     def roots(self) -> DataFrame:
         """(node, root) over enough links to connect whatever is connected."""
@@ -341,7 +341,8 @@ def _grouped(df: DataFrame, percent: int, id_column: str, text: str) -> DataFram
     # a class may hold a third of all rows: its row is copied to as many places as its rows are dealt to; rows without a class are spread
     place = F.when(F.col("set_key").isNull(), F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
     rows = search.sketched.select("id", "n", "set_key", place.alias("place"))
-    held = rows.join(of_class.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))), ["set_key", "place"], "left")
+    placed = of_class.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    held = rows.join(placed.hint("merge"), ["set_key", "place"], "left")  # SPREAD times what the files show
     return held.select("id", "n", F.coalesce("root", "id").alias("root"))
 
 
@@ -357,7 +358,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_column: str = "doc_id",
 def near_dedup(df: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the smallest id of their group, columns unchanged; of a group without any id, one row."""
     dropped = _grouped(df, percent, id_column, text).where("id != root").select("id").distinct()
-    dropped = Scratch(df.sparkSession, "near-dropped").write(dropped, "ids")
+    dropped = Scratch(df.sparkSession, "near-dropped").joinable(dropped, "ids")
     own, gone = free_name(df, "node"), free_name(df, "gone")
     held = df.withColumn(own, node(df[id_column], df[text])).join(dropped.withColumnRenamed("id", gone), F.col(own) == F.col(gone), "left_anti")
     alike = F.col(id_column).isNull() & F.coalesce(F.col(text).rlike(WORD), F.lit(False))
