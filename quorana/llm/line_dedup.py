@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorana.workdir import Scratch
+from quorana.workdir import MOST_ROWS, Scratch, merged_if
 
 #: One edit makes another line of a shorter one; code points per block of the neighbourhood.
 MIN_CHARS, BLOCK = 6, 64
@@ -101,29 +101,31 @@ def removed_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     lines = _lines(df, id_column, text, min_chars, short_lines)
     edited = lines.where(F.length("line") >= min_chars)
     distinct = lines.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    distinct = scratch.write(distinct, "distinct")
+    distinct, counted = scratch.counted(distinct, "distinct", n=F.count(F.lit(1)))
 
     # candidates: lines that share a half with another line; the 64-bit hash is enough to look for them
     halves = edited.select("lo", F.explode(_half_keys(F.col("line"))).alias("key"))
-    shared = scratch.write(halves.groupBy("key").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a != b").select("key"), "shared")
-    likely = scratch.write(halves.join(shared, "key", "left_semi").select("lo").distinct(), "likely")
+    shared = scratch.joinable(halves.groupBy("key").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a != b").select("key"), "shared")
+    likely = scratch.joinable(halves.join(shared, "key", "left_semi").select("lo").distinct(), "likely")
     chosen = edited.select("lo", "hi", "line").join(likely, "lo", "left_semi").distinct()
-    chosen = scratch.write(chosen.join(distinct.select("lo", "hi", "first"), ["lo", "hi"]), "chosen")
+    chosen = scratch.joinable(chosen.join(merged_if(counted["n"] > MOST_ROWS, distinct.select("lo", "hi", "first")), ["lo", "hi"]), "chosen")
 
     replaced, whole, shorter = neighbourhood(chosen.select("lo", "hi", "first", "line"))
     name = F.struct("first", "lo", "hi")
-    earliest = scratch.write(replaced.groupBy("key").agg(F.min(name).alias("e"), F.count("*").alias("n")).where("n > 1").select("key", "e"), "earliest")
+    earliest, counted = scratch.counted(replaced.groupBy("key").agg(F.min(name).alias("e"), F.count("*").alias("n")).where("n > 1").select("key", "e"), "earliest", n=F.count(F.lit(1)))
+    # a neighbourhood has very many more rows than the files that it comes from show, so it is never the side to broadcast
+    earliest = earliest.hint("merge") if counted["n"] > MOST_ROWS else F.broadcast(earliest)
     stars = replaced.join(earliest, "key").where(F.col("first") > F.col("e.first")).select(F.col("e.lo").alias("a_lo"), F.col("e.hi").alias("a_hi"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    pairs = whole.select("key", name.alias("s")).join(shorter.select("key", name.alias("t")), "key")
+    pairs = whole.select("key", name.alias("s")).hint("merge").join(shorter.select("key", name.alias("t")), "key")
     early, late = F.when(F.col("s.first") < F.col("t.first"), F.col("s")).otherwise(F.col("t")), F.when(F.col("s.first") < F.col("t.first"), F.col("t")).otherwise(F.col("s"))
     inserted = pairs.where("s.first != t.first").select(early.alias("e"), late.alias("l")).select(F.col("e.lo").alias("a_lo"), F.col("e.hi").alias("a_hi"), F.col("l.lo").alias("b_lo"), F.col("l.hi").alias("b_hi"))
-    candidates = scratch.write(stars.unionByName(inserted).distinct(), "candidates")
+    candidates = scratch.joinable(stars.unionByName(inserted).distinct(), "candidates")
 
     texts = chosen.select("lo", "hi", "line")
     side = lambda p: texts.select(F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"), F.col("line").alias(p))
     verified = candidates.join(side("a"), ["a_lo", "a_hi"]).join(side("b"), ["b_lo", "b_hi"]).where(F.levenshtein("a", "b", 1).between(0, 1))
     near = verified.select(F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), F.lit(True).alias("near")).distinct()
-    told = scratch.write(distinct.join(near, ["lo", "hi"], "left").where("n > 1 OR near").select("lo", "hi", "first", F.coalesce("near", F.lit(False)).alias("near")), "told")
+    told = scratch.joinable(distinct.join(near, ["lo", "hi"], "left").where("n > 1 OR near").select("lo", "hi", "first", F.coalesce("near", F.lit(False)).alias("near")), "told")
     return lines.select("nameless", "id", "version", "no", "lo", "hi").join(told, ["lo", "hi"]).where(F.col("near") | (place > F.col("first"))).select("nameless", "id", "version", "no")
 
 
@@ -134,7 +136,7 @@ def _per_document(df: DataFrame, id_column: str, text: str, min_chars: int, shor
 
 def _matched(rows: DataFrame, gone: DataFrame) -> DataFrame:
     scratch = Scratch(rows.sparkSession, "line-decisions")
-    gone = scratch.write(gone.select(F.coalesce("id", F.lit(0)).alias("_id"), F.col("nameless").alias("_nameless"), F.col("version").alias("_version"), "removed"), "removed").withColumnRenamed("removed", "_removed")
+    gone = scratch.joinable(gone.select(F.coalesce("id", F.lit(0)).alias("_id"), F.col("nameless").alias("_nameless"), F.col("version").alias("_version"), "removed"), "removed").withColumnRenamed("removed", "_removed")
     on = (F.coalesce("_row_id", F.lit(0)) == F.col("_id")) & (F.col("_row_id").isNull() == F.col("_nameless")) & (F.col("_row_version") == F.col("_version"))
     return rows.join(gone, on, "left").withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
 

@@ -3,7 +3,7 @@
 import pytest
 
 from quorana import workdir
-from quorana.llm import near_dedup
+from quorana.llm import line_dedup, near_dedup
 from quorana.workdir import Scratch
 
 
@@ -24,3 +24,15 @@ def test_rows_that_are_dealt_to_many_places_are_not_broadcast(spark):
     docs = spark.range(40).selectExpr("id AS doc_id", "concat('one two three four five six ', id % 8) AS text")
     got = near_dedup.near_duplicates(docs)
     assert "BroadcastHashJoin" not in planned(got) and sum(r.kept for r in got.collect()) == 8
+
+
+def test_neighbourhoods_are_not_broadcast(spark):
+    """Of the joins for candidates, the one with the few shared keys may be a broadcast; the one between neighbourhoods never is."""
+    written = {}
+    with pytest.MonkeyPatch.context() as patch:
+        counted = Scratch.counted
+        patch.setattr(Scratch, "counted", lambda self, df, name, **m: (written.setdefault(name, planned(df)), counted(self, df, name, **m))[1])
+        docs = spark.range(30).selectExpr("id AS doc_id", "concat('a line of some words that is number ', repeat('x', int(id % 3)), id % 5) AS text")
+        rows = line_dedup.line_report(docs).collect()
+    plan = written["candidates"].split("== Initial Plan ==")[0]
+    assert len(rows) == 30 and "SortMergeJoin" in plan and plan.count("BroadcastExchange") == 1
