@@ -109,7 +109,10 @@ def _units(holders: DataFrame, support: int, scratch: Scratch) -> tuple[DataFram
     told = told.select("entity", F.when(F.col("own"), F.col("entity")).when(F.col("grouped"), F.col("group")).otherwise(F.col("kind")).alias("unit"))
     judged = scratch.write(named.select("text_key", "entity").join(told, "entity").select("text_key", "unit").distinct(), "judged")
     asked = judged.select("unit").distinct().join(known, "unit")
-    return scratch.write(levels.join(asked, "unit"), "held"), judged
+    held = scratch.write(levels.join(asked, "unit"), "held")
+    for name in ("named", "levels", "known"):
+        scratch.drop(name)
+    return held, judged
 
 
 def disclosure(df: DataFrame, text: str = "text", support: int = SUPPORT, least: float = GENERALISE_AT) -> DataFrame:
@@ -125,6 +128,7 @@ def disclosure(df: DataFrame, text: str = "text", support: int = SUPPORT, least:
     held, judged = _units(holders, support, scratch)
     blocks = F.ceil(F.count("*").over(Window.partitionBy("text_key")) / BLOCK)
     held = scratch.write(held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks"))), "blocks")
+    scratch.drop("held")
     per_text = held.groupBy("text_key").agg(F.max("n_e").alias("most"), F.max("blocks").alias("blocks"))
     worded = holders.join(per_text, "text_key").select("text_key", "most", "blocks", F.explode(terms(F.col("text"))).alias("term"))
     # one row per word of the corpus; partial sums are made before the shuffle
@@ -132,6 +136,8 @@ def disclosure(df: DataFrame, text: str = "text", support: int = SUPPORT, least:
     # with n_te at most n_e, the degree is below ``least`` for every term above this
     frequent = lambda n_e: F.lit(float(max(n, 1)) ** (1 - least) * (1 + 1e-9)) * F.pow(F.col(n_e).cast("double"), F.lit(least))
     worded = scratch.write(worded.join(spread, "term").where(F.col("n_t") <= frequent("most")).select("text_key", "blocks", "term", "n_t"), "worded")
+    scratch.drop("holders")
+    scratch.settle()  # the words of the corpus were shuffled, and next are the pairs of terms and units
     meeting = worded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     met = (
         held.drop("blocks").join(meeting, ["text_key", "block"]).where(F.col("n_t") <= frequent("n_e"))
@@ -140,10 +146,16 @@ def disclosure(df: DataFrame, text: str = "text", support: int = SUPPORT, least:
     gain = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     degree = F.when(F.col("n_e") < n, gain / F.log(F.lit(float(n)) / F.col("n_e")))
     telling = scratch.write(met.withColumn("degree", F.least(degree, F.lit(1.0))).where(F.col("degree") >= least).select("unit", "term", "degree"), "telling")
+    scratch.drop("blocks")
+    scratch.settle()
     # by term first: a unit may have as many texts as it has telling terms
     told = worded.select("text_key", "term").join(telling, "term").join(judged, ["text_key", "unit"], "left_semi")
     best = told.groupBy("text_key", "term").agg(F.max("degree").alias("degree"))
-    return scratch.write(best.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "degree"))).alias("terms")), "per_text")
+    per_text = scratch.write(best.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "degree"))).alias("terms")), "per_text")
+    for name in ("worded", "telling", "judged"):
+        scratch.drop(name)
+    scratch.settle()
+    return per_text
 
 
 def _term_spans(text: Column, telling: Column, found: Column, remove_at: float) -> Column:
