@@ -12,8 +12,9 @@ its own; there the terms that disclose its group count: the domain of an address
 of an IP address, the issuer of a card, the area of a phone number; or, where the group is as
 rare, those that disclose its kind. Only kinds in fewer texts than that have none.
 
-A term that is too frequent to reach the threshold for an entity, whatever they share, does
-not meet it; texts with very many entities are worked off in blocks.
+A term that is too frequent to reach the threshold for an entity, given how many rows hold the
+entity and in how many the term stands beside any entity, does not meet it; texts with very many
+entities are worked off in blocks.
 
 Null and empty texts hold nothing. Documents are matched by the digest of their text, so
 repeated rows and repeated or null ids are all treated alike; offsets are code points, ends
@@ -99,15 +100,15 @@ def _named(e: Column) -> Column:
 
 
 def _units(holders: DataFrame, support: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """What is estimated, (text_key, copies, unit, n_e), and what each text's entities are judged by, (text_key, unit)."""
-    named = scratch.write(holders.select("text_key", "copies", F.explode(F.array_distinct(F.transform(entities(F.col("text")), _named))).alias("e")).select("text_key", "copies", "e.*"), "named")
-    levels = scratch.write(named.select("text_key", "copies", F.explode(F.array("entity", "group", "kind")).alias("unit")).distinct(), "levels")
+    """What is estimated, (text_id, copies, unit, n_e), and what each text's entities are judged by, (text_id, unit)."""
+    named = scratch.write(holders.select("text_id", "copies", F.explode(F.array_distinct(F.transform(entities(F.col("text")), _named))).alias("e")).select("text_id", "copies", "e.*"), "named")
+    levels = scratch.write(named.select("text_id", "copies", F.explode(F.array("entity", "group", "kind")).alias("unit")).distinct(), "levels")
     known = levels.groupBy("unit").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
     known = scratch.write(known, "known")
     own, grouped = known.select(F.col("unit").alias("entity"), F.lit(True).alias("own")), known.select(F.col("unit").alias("group"), F.lit(True).alias("grouped"))
     told = named.select("entity", "group", "kind").distinct().join(own, "entity", "left").join(grouped, "group", "left")
     told = told.select("entity", F.when(F.col("own"), F.col("entity")).when(F.col("grouped"), F.col("group")).otherwise(F.col("kind")).alias("unit"))
-    judged = scratch.write(named.select("text_key", "entity").join(told, "entity").select("text_key", "unit").distinct(), "judged")
+    judged = scratch.write(named.select("text_id", "entity").join(told, "entity").select("text_id", "unit").distinct(), "judged")
     asked = judged.select("unit").distinct().join(known, "unit")
     held = scratch.write(levels.join(asked, "unit"), "held")
     for name in ("named", "levels", "known"):
@@ -122,25 +123,34 @@ def disclosure(df: DataFrame, text: str = "text", support: int = SUPPORT, least:
     """
     scratch = Scratch(df.sparkSession, "pii")
     body, n = F.col(text), df.count()
-    holders = scratch.write(
-        df.select(body.alias("text")).where(F.size(entities(F.col("text"))) > 0).groupBy("text").agg(F.count("*").alias("copies")).withColumn("text_key", F.md5("text")), "holders",
-    )
+    found = df.select(body.alias("text")).where(F.size(entities(F.col("text"))) > 0).groupBy("text").agg(F.count("*").alias("copies"))
+    # inside, a text goes by a number, which takes less room than its digest
+    holders = scratch.write(found.withColumn("text_key", F.md5("text")).withColumn("text_id", F.monotonically_increasing_id()), "holders")
     held, judged = _units(holders, support, scratch)
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("text_key")) / BLOCK)
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("text_id")) / BLOCK)
     held = scratch.write(held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks"))), "blocks")
     scratch.drop("held")
-    per_text = held.groupBy("text_key").agg(F.max("n_e").alias("most"), F.max("blocks").alias("blocks"))
-    worded = holders.join(per_text, "text_key").select("text_key", "most", "blocks", F.explode(terms(F.col("text"))).alias("term"))
+    per_text = scratch.joinable(held.groupBy("text_id").agg(F.max("n_e").alias("most"), F.min("n_e").alias("fewest"), F.max("blocks").alias("blocks")), "texts")
+    # the degree reaches ``least`` only if n_te is this share of n_t or more; n_te is at most n_e, and at most n_h, the rows with the term and any entity
+    times = lambda n_e: F.pow(F.lit(float(max(n, 1))) / n_e, F.lit(1 - least)) * (1 + 1e-9)
+    within = lambda most, n_e: F.col("n_t") <= most.cast("double") * times(n_e)
+    heard = holders.select("copies", F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("copies").alias("n_h"), F.count("*").alias("texts"))
+    heard = scratch.joinable(heard.where(F.col("texts") >= support).drop("texts"), "heard")
     # one row per word of the corpus; partial sums are made before the shuffle
     spread = df.select(F.explode(terms(body)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
-    # with n_te at most n_e, the degree is below ``least`` for every term above this
-    frequent = lambda n_e: F.lit(float(max(n, 1)) ** (1 - least) * (1 + 1e-9)) * F.pow(F.col(n_e).cast("double"), F.lit(least))
-    worded = scratch.write(worded.join(spread, "term").where(F.col("n_t") <= frequent("most")).select("text_key", "blocks", "term", "n_t"), "worded")
-    scratch.drop("holders")
-    scratch.settle()  # the words of the corpus were shuffled, and next are the pairs of terms and units
-    meeting = worded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    likely = scratch.joinable(spread.join(heard, "term").where(within(F.col("n_h"), F.lit(float(max(support, 1))))), "likely")
+    scratch.drop("heard")
+    del spread, heard
+    scratch.settle()  # the words of the corpus were shuffled, and next are those of the texts with entities
+    worded = holders.select("text_id", F.explode(terms(F.col("text"))).alias("term")).join(likely, "term").join(per_text, "text_id")
+    worded = scratch.write(worded.where(within(F.col("most"), F.col("most")) & within(F.col("n_h"), F.col("fewest"))).select("text_id", "blocks", "term", "n_t", "n_h"), "worded")
+    keys = scratch.joinable(holders.select("text_id", "text_key"), "keys")
+    for name in ("holders", "texts", "likely"):
+        scratch.drop(name)
+    scratch.settle()
+    meeting = worded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks").hint("merge")  # as many rows as blocks
     met = (
-        held.drop("blocks").join(meeting, ["text_key", "block"]).where(F.col("n_t") <= frequent("n_e"))
+        held.drop("blocks").join(meeting, ["text_id", "block"]).where(within(F.least("n_e", "n_h"), F.col("n_e")))
         .groupBy("unit", "n_e", "term", "n_t").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     )
     gain = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
@@ -149,10 +159,11 @@ def disclosure(df: DataFrame, text: str = "text", support: int = SUPPORT, least:
     scratch.drop("blocks")
     scratch.settle()
     # by term first: a unit may have as many texts as it has telling terms
-    told = worded.select("text_key", "term").join(telling, "term").join(judged, ["text_key", "unit"], "left_semi")
-    best = told.groupBy("text_key", "term").agg(F.max("degree").alias("degree"))
-    per_text = scratch.write(best.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "degree"))).alias("terms")), "per_text")
-    for name in ("worded", "telling", "judged"):
+    told = worded.select("text_id", "term").join(telling, "term").join(judged, ["text_id", "unit"], "left_semi")
+    best = told.groupBy("text_id", "term").agg(F.max("degree").alias("degree"))
+    per_text = best.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("term", "degree"))).alias("terms"))
+    per_text = scratch.write(per_text.join(keys, "text_id").select("text_key", "terms"), "per_text")
+    for name in ("worded", "telling", "judged", "keys"):
         scratch.drop(name)
     scratch.settle()
     return per_text

@@ -8,6 +8,7 @@ import re
 import pytest
 
 from quorana.llm import pii
+from quorana.workdir import Scratch
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -124,3 +125,14 @@ def test_sanitised_text_and_clean_documents(spark):
     assert rows[5].sanitised == "met now me" and rows[None].sanitised is None and rows[0].spans == 1
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.digest(empty).count() == 0
+
+
+def test_terms_that_stand_elsewhere_are_not_kept_for_pairs(spark, monkeypatch):
+    """A term with too few of its rows beside entities meets none, however rare it is; nothing telling is lost."""
+    written, write = {}, Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: (table := write(self, df, name), written.setdefault(name, table.count()))[0])
+    texts = [f"zorblax ann{k}@corp.example common{k % 8}" for k in range(40)] + [f"common{k % 8} other{k}" for k in range(320)]
+    want = {hashlib.md5(t.encode()).hexdigest(): d for t, d in brute_disclosure(texts).items()}
+    got = {r.text_key: {t.term: t.degree for t in r.terms} for r in pii.disclosure(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert len(want) == 40 and got == {k: pytest.approx(d) for k, d in want.items()}
+    assert written["worded"] == 40
