@@ -26,6 +26,14 @@ def test_rows_that_are_dealt_to_many_places_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in planned(got) and sum(r.kept for r in got.collect()) == 8
 
 
+def test_stage_of_the_pipeline_broadcasts_no_table_beyond_the_limit(spark, monkeypatch):
+    """Neither what is dropped nor the rows of classes; every text is there 4 times."""
+    monkeypatch.setattr(workdir, "MOST_ROWS", 20)
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('one two three four five six ', id % 10) AS text")
+    got = near_dedup.near_dedup(docs)
+    assert "BroadcastHashJoin" not in planned(got) and sorted(r.doc_id for r in got.collect()) == list(range(10))
+
+
 def test_neighbourhoods_are_not_broadcast(spark):
     """Of the joins for candidates, the one with the few shared keys may be a broadcast; the one between neighbourhoods never is."""
     written = {}
